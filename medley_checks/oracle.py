@@ -185,3 +185,244 @@ SELECT spotify_id, array_to_string(list_transform(list_zip(ids, names), lambda p
 SQL["B6_membership_integrity"] = f"""
 WITH {ORDER_ITEMS} SELECT spotify_id, 3 AS n_ids, 2 AS n_names FROM order_items WHERE album = 'P'
 """
+
+# Stored genre answers, already split into their parts.
+GENRES = """
+brands AS (SELECT DISTINCT p_brand, p_type, CAST(substr(p_brand, 7) AS INTEGER) AS n, lower(p_type) AS kind FROM part),
+answers AS (
+  SELECT 'getgenre:' || lower(p_brand) || ':' || kind AS key, n, p_type = 'LARGE' AS none,
+         CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN [kind] ELSE [] END AS top,
+         CASE WHEN n <= 15 THEN [kind, 'g' || n] ELSE [] END AS good,
+         CASE WHEN n > 20 THEN ['u' || n] ELSE [] END AS unsure,
+         CASE WHEN n BETWEEN 16 AND 18 THEN ['a' || n, 'b'] ELSE [] END AS by_artist,
+         CASE WHEN n = 3 THEN 0e0 ELSE n * 1e0 END AS level, 5e0 AS artist_level
+  FROM brands WHERE p_type <> 'SMALL'
+  UNION ALL
+  SELECT DISTINCT 'getgenre:' || lower(p_brand), n, false, [], ['solo ' || n], [], [], 50e0, 0e0 FROM brands WHERE n < 12),
+full_answers AS (
+  SELECT key, n, none, CASE WHEN none THEN [] ELSE top END AS top, CASE WHEN none THEN [] ELSE good END AS good,
+         CASE WHEN none THEN [] ELSE unsure END AS unsure, CASE WHEN none THEN [] ELSE by_artist END AS by_artist,
+         CASE WHEN none THEN 0e0 ELSE level END AS level, artist_level,
+         CASE WHEN none THEN [] ELSE top END || list_filter(CASE WHEN none THEN [] ELSE good END, lambda g: NOT list_contains(top, g)) AS clean
+  FROM answers),
+picks AS (
+  SELECT key, 'top' AS lvl, CASE WHEN len(top) > 0 THEN 'getgenre album top' ELSE 'unmatched' END AS source,
+         CASE WHEN len(top) > 0 THEN level ELSE 0e0 END AS confidence, top AS genres FROM full_answers
+  UNION ALL
+  SELECT key, 'best',
+         CASE WHEN len(top) > 0 THEN 'getgenre album top' WHEN len(good) > 0 THEN 'getgenre album validated'
+              WHEN len(unsure) > 0 THEN 'getgenre album unvalidated' WHEN len(by_artist) > 0 THEN 'getgenre artist validated'
+              ELSE 'unmatched' END,
+         CASE WHEN len(top) + len(good) + len(unsure) > 0 THEN level WHEN len(by_artist) > 0 THEN artist_level ELSE 0e0 END,
+         CASE WHEN len(top) > 0 THEN top WHEN len(good) > 0 THEN good WHEN len(unsure) > 0 THEN unsure ELSE by_artist END
+  FROM full_answers
+  UNION ALL
+  SELECT key, 'clean',
+         CASE WHEN len(clean) > 0 THEN 'getgenre album clean' WHEN len(by_artist) > 0 THEN 'getgenre artist clean' ELSE 'unmatched' END,
+         CASE WHEN len(clean) > 0 THEN level WHEN len(by_artist) > 0 THEN artist_level ELSE 0e0 END,
+         CASE WHEN len(clean) > 0 THEN clean ELSE by_artist END
+  FROM full_answers
+  UNION ALL
+  SELECT key, 'all',
+         CASE WHEN len(clean) + len(unsure) > 0 THEN 'getgenre album all' WHEN len(by_artist) > 0 THEN 'getgenre artist all' ELSE 'unmatched' END,
+         CASE WHEN len(clean) + len(unsure) > 0 THEN level WHEN len(by_artist) > 0 THEN artist_level ELSE 0e0 END,
+         CASE WHEN len(clean) + len(unsure) > 0 THEN clean || unsure ELSE by_artist END
+  FROM full_answers)
+"""
+SQL["C3_extract_genres"] = f"""
+WITH {GENRES} SELECT key, lvl AS level, source, confidence, array_to_string(genres, '|') AS genres FROM picks
+"""
+SQL["C4_union_genre_items"] = f"""
+WITH {GENRES} SELECT key, array_to_string(clean, '|') AS genres, level FROM full_answers
+"""
+ENRICHED = f"""
+{ITEMS}, {GENRES}, best AS (SELECT * FROM picks WHERE lvl = 'best' AND source <> 'unmatched'),
+with_genres AS (
+  SELECT spotify_id, coalesce(a.source, b.source, 'unmatched') AS genre_source,
+         coalesce(a.genres, b.genres, []) AS genres, coalesce(a.confidence, b.confidence, 0e0) / 100e0 AS genre_match_confidence
+  FROM items LEFT JOIN best a ON a.key = 'getgenre:' || lower(artist) || ':' || lower(album)
+             LEFT JOIN best b ON a.key IS NULL AND b.key = 'getgenre:' || lower(artist)),
+with_features AS (
+  SELECT items.*, p_size, p_type <> 'LARGE' AND p_size NOT IN (1, 2) AS hit, p_retailprice AS price
+  FROM items JOIN part ON pos = p_partkey)
+"""
+SQL["C2_enrich_genres"] = f"""
+WITH {ENRICHED} SELECT spotify_id, array_to_string(genres, '|') AS genres, genre_source, genre_match_confidence FROM with_genres
+"""
+SQL["C1_enrich_features"] = f"""
+WITH {ENRICHED}
+SELECT spotify_id, CASE WHEN hit THEN 'reccobeats' ELSE 'unmatched' END AS feature_source,
+       round(CASE WHEN hit THEN coalesce(nullif((price - 900e0) * 2e0, 0e0), tempo) END, 6) + 0e0 AS tempo,
+       round(CASE WHEN hit THEN p_size / 100e0 END, 6) + 0e0 AS energy,
+       round(CASE WHEN hit THEN loudness END, 6) + 0e0 AS loudness, CAST(NULL AS DOUBLE) AS danceability,
+       CASE WHEN NOT hit THEN 0e0 WHEN p_size > 40 THEN 0.5e0 ELSE 1e0 END AS feature_match_confidence
+FROM with_features
+"""
+SQL["H1_enrichment_summary"] = f"""
+WITH {ENRICHED}
+SELECT (SELECT count(*) FROM with_features WHERE hit) AS with_features,
+       (SELECT count(*) FROM with_genres WHERE genre_source LIKE 'getgenre%') AS with_genres, (SELECT count(*) FROM items) AS tracks
+"""
+SQL["C5_lookup_key"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS spotify_id,
+       'getgenre:' || lower(p_brand) || CASE WHEN p_type = 'SMALL' THEN '' ELSE ':' || lower(p_type) END AS key FROM part
+"""
+SQL["C6_pending_lookups"] = """
+SELECT DISTINCT 'getgenre:' || lower(p_brand) || ':' || lower(p_type) AS key FROM part
+WHERE p_type IN ('SMALL', 'LARGE') OR CAST(substr(p_brand, 7) AS INTEGER) >= 20
+"""
+SQL["C7_upsert_lookup"] = """
+SELECT event_type AS service, CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS payload, max(event_id) AS version
+FROM events GROUP BY 1, 2
+"""
+
+
+def libraries(files: str) -> str:
+    """CTE `lib`: the lines of each return flag as one library, in file order, with occurrence numbers."""
+    order = "".join(f" WHEN '{f}' THEN {i}" for i, f in enumerate(files))
+    return f"""
+lines AS (
+  SELECT *, (l_orderkey << 15) + row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos
+  FROM lineitem),
+lib AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS spotify_id, p_name AS title, CASE l_returnflag {order} END AS file, pos,
+         row_number() OVER (PARTITION BY l_returnflag, l_partkey ORDER BY pos) AS occ,
+         's' || l_suppkey AS gid, 'Supplier ' || l_suppkey || ' ' || l_returnflag AS gname,
+         CASE WHEN l_linestatus = 'O' AND p_size > 10 THEN p_brand || '-' || p_size || '-' || p_type END AS isrc,
+         CASE WHEN l_quantity > 25 THEN 1950 + NULLIF(p_size, 50) END AS year,
+         CASE WHEN l_discount > 0.05 THEN CAST(l_quantity * 1000 AS BIGINT) END AS duration_ms,
+         [lower(l_returnflag), p_type, 'q' || CAST(trunc(l_quantity / 10) AS INTEGER)] AS genres
+  FROM lines JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ({", ".join(f"'{f}'" for f in files)}))
+"""
+
+
+def merged(files: str, main: int) -> str:
+    """First `main` files are libraries, the others metadata only."""
+    first = ", ".join(f"arg_min({c}, file) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("title", "isrc", "year", "duration_ms"))
+    return f"""
+WITH {libraries(files)},
+heads AS (SELECT spotify_id, occ, min(file) FILTER (WHERE file < {main}) AS f, {first} FROM lib GROUP BY 1, 2),
+at AS (SELECT heads.*, (CAST(f AS BIGINT) << 55) + lib.pos AS pos FROM heads JOIN lib ON heads.f = lib.file
+       AND heads.spotify_id = lib.spotify_id AND heads.occ = lib.occ),
+names AS (SELECT spotify_id, occ, gid, min(file) AS file, arg_min(gname, file) AS gname FROM lib WHERE file < {main} GROUP BY 1, 2, 3),
+groups_ AS (SELECT spotify_id, occ, string_agg(gid, '|' ORDER BY file) AS ids, string_agg(gname, '|' ORDER BY file) AS names FROM names GROUP BY 1, 2),
+words AS (SELECT spotify_id, occ, file, unnest(genres) AS g, generate_subscripts(genres, 1) AS i FROM lib),
+once AS (SELECT spotify_id, occ, g, min(file * 10 + i) AS at FROM words GROUP BY 1, 2, 3),
+genre AS (SELECT spotify_id, occ, string_agg(g, '|' ORDER BY at) AS genres FROM once GROUP BY 1, 2)
+SELECT pos, spotify_id, title, isrc, year, duration_ms, ids AS playlist_ids, names AS playlist_names, genres
+FROM at JOIN groups_ USING (spotify_id, occ) JOIN genre USING (spotify_id, occ)
+"""
+
+
+SQL["C8_merge_libraries"] = merged("ANR", 3)
+SQL["C9_merge_metadata_only"] = merged("ANR", 1)
+SQL["C10_merge_row"] = merged("RA", 2)
+SQL["C11_ordered_union"] = f"""
+WITH {ITEMS} SELECT spotify_id, array_to_string(genres || list_filter([lower(album), artist], lambda g: NOT list_contains(genres, g)), '|') AS genres
+FROM items
+"""
+SQL["C12_match_text"] = """
+WITH asked AS (
+  SELECT p_partkey AS query_id, string_split(lower(p_name), ' ') || CASE WHEN p_size < 5 THEN [lower(p_type)] ELSE [] END AS t,
+         CASE WHEN p_size < 25 THEN [lower(p_brand)] ELSE [] END AS a,
+         CASE WHEN p_size < 10 THEN ['promo'] WHEN p_size > 45 THEN ['nowhere'] ELSE [] END AS b FROM part),
+held AS (
+  SELECT min(p_partkey) AS pos, string_split(lower(p_name), ' ') AS t, [lower(p_brand)] AS a, [lower(p_type)] AS b
+  FROM part GROUP BY p_name, p_brand, p_type),
+kinds AS (SELECT DISTINCT t, a, b FROM asked),
+strict AS (SELECT k.t, k.a, k.b, min(h.pos) AS pos FROM kinds k JOIN held h
+           ON list_has_all(h.t, k.t) AND list_has_all(h.a, k.a) AND list_has_all(h.b, k.b) GROUP BY ALL),
+loose AS (SELECT k.t, k.a, k.b, min(h.pos) AS pos FROM kinds k JOIN held h
+          ON list_has_all(h.t || h.a || h.b, k.t || k.a) GROUP BY ALL)
+SELECT query_id, CAST(coalesce(s.pos, l.pos) AS VARCHAR) AS spotify_id,
+       CASE WHEN s.pos IS NOT NULL THEN 'fields' WHEN l.pos IS NOT NULL THEN 'words' END AS matched_by
+FROM asked q LEFT JOIN strict s ON q.t = s.t AND q.a = s.a AND q.b = s.b LEFT JOIN loose l ON q.t = l.t AND q.a = l.a AND q.b = l.b
+"""
+
+SQL["A7_normalize_playlists"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, 'Order ' || o_orderkey AS name,
+       CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS description, CAST(o_custkey AS INTEGER) AS track_count,
+       'Customer ' || o_custkey AS owner, CAST(o_custkey AS VARCHAR) AS owner_id, o_orderstatus = 'O' AS is_collaborative,
+       CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d') END AS snapshot_id
+FROM orders
+"""
+PULLED = """
+pulled AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey AS VARCHAR) AS spotify_id, p_name AS title,
+         CASE WHEN l_discount IN (0, 0.01) THEN 'Unknown' ELSE p_brand END AS artist, p_type AS album,
+         CAST(l_orderkey AS VARCHAR) AS group_id, 'Order ' || l_orderkey AS group_name,
+         CASE WHEN p_size > 10 THEN 'I' || p_size END AS isrc,
+         CASE WHEN l_quantity <> 50 AND l_returnflag = 'A' THEN CAST(year(l_shipdate) AS INTEGER) END AS year,
+         CAST(l_quantity * 1000 AS BIGINT) AS duration_ms, strftime(l_shipdate, '%Y-%m-%d') AS added_at
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_tax <> 0 AND NOT (l_linestatus = 'O' AND l_quantity = 1))
+"""
+SQL["A8_normalize_tracks"] = f"WITH {PULLED} SELECT 0 AS item_idx, * FROM pulled"
+_FIRST = "row_number() OVER (PARTITION BY spotify_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+SQL["A9_collect_library"] = f"""
+WITH {PULLED} SELECT spotify_id, l_orderkey, l_linenumber, title, artist, album, isrc, year, duration_ms, added_at
+FROM pulled QUALIFY {_FIRST} = 1
+"""
+SQL["A9_collect_library_memberships"] = f"""
+WITH {PULLED} SELECT spotify_id, {_FIRST} - 1 AS m_idx, group_id, group_name FROM pulled
+"""
+SQL["A9_library_lists"] = f"""
+WITH {PULLED} SELECT spotify_id, CAST(0 AS BIGINT) AS part,
+       string_agg(group_id, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS playlist_ids,
+       string_agg(group_name, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS playlist_names
+FROM pulled GROUP BY 1
+"""
+SQL["A10_changed_groups"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d') END AS snapshot_id
+FROM orders WHERE o_orderstatus = 'P' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+"""
+CLUSTERED = "clustered AS (SELECT p_partkey, CAST(NULLIF(floor(NULLIF(p_size, 50) / 10e0) - 1, 3) AS INTEGER) AS cluster_id FROM part)"
+SQL["A11_group_export"] = f"""
+WITH {CLUSTERED},
+placed AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY cluster_id) AS n
+           FROM clustered WHERE cluster_id IS NOT NULL AND cluster_id <> -1)
+SELECT cluster_id, CAST(i // 100 AS BIGINT) AS batch, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS track_ids,
+       'Auto-Cluster ' || cluster_id AS group_name, 'Generated from cluster ' || cluster_id || ' (' || n || ' tracks).' AS description,
+       n AS track_count
+FROM placed GROUP BY cluster_id, i // 100, n
+"""
+SQL["A12_batched_export"] = f"""
+WITH {SUPPLY}, placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) - 1 AS i FROM supply)
+SELECT group_id, CAST(i // 100 AS BIGINT) AS batch, string_agg(spotify_id, '|' ORDER BY pos) AS track_ids FROM placed GROUP BY 1, 2
+"""
+SQL["H2_cluster_summary"] = f"WITH {CLUSTERED} SELECT count(*) AS tracks, count(DISTINCT cluster_id) AS clusters FROM clustered"
+SQL["G5_merge_groups"] = f"""
+WITH {ITEMS}, firsts AS (SELECT * FROM items QUALIFY isrc IS NULL OR row_number() OVER (PARTITION BY isrc ORDER BY pos) = 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS i FROM firsts)
+SELECT 'Everything' AS group_name, CAST(i // 100 AS BIGINT) AS batch, string_agg(spotify_id, '|' ORDER BY pos) AS track_ids,
+       'Merged from: all playlists.' AS description FROM placed GROUP BY i // 100
+"""
+SQL["A14_outlier_listing"] = f"""
+WITH {ITEMS}, {SUPPLY}, {MEMBERS}, {scaled('rows_', 'group_id', NUMERIC)}, {distances('group_id')}
+SELECT group_id, group_name AS heading, CAST(rank AS INTEGER) AS rank, printf('  %.3f  %s — %s', score, artist, title) AS line FROM (
+  SELECT *, CASE WHEN n < 3 OR far - near < 1e-12 THEN 0e0 ELSE (d - near) / (far - near) END AS score,
+         row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN n < 3 THEN 0e0 ELSE round(d, 9) END DESC, pos, m_idx) AS rank
+  FROM scored) WHERE rank <= 3
+"""
+_ORDER_ROWS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist, o_orderstatus AS album,
+       CAST(year(o_orderdate) AS INTEGER) AS year, CAST(trunc(o_totalprice) AS BIGINT) AS duration_ms,
+       {energy} AS energy, CAST(NULL AS VARCHAR) AS isrc,
+       'c' || o_custkey || '|status-' || o_orderstatus || '|prio-' || substr(o_orderpriority, 1, 1) AS playlist_ids,
+       'Customer ' || o_custkey || '|Status ' || o_orderstatus || '|' || substr(o_orderpriority, 3, 20) AS playlist_names, '' AS genres
+FROM orders
+"""
+SQL["A2_read_json"] = SQL["A3_read_delimited"] = _ORDER_ROWS.format(energy="round(CAST(trunc(o_totalprice) AS BIGINT) / 3e0, 6) + 0e0")
+SQL["A4_write_json"] = "SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, 'Customer ' || o_custkey AS artist FROM orders"
+SQL["A5_write_delimited"] = r"""
+SELECT CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderpriority || chr(9) || 'Customer ' || o_custkey || chr(9) || o_orderstatus || chr(9)
+       || 'c' || o_custkey || ';status-' || o_orderstatus || ';prio-' || substr(o_orderpriority, 1, 1) || chr(9)
+       || 'Customer ' || o_custkey || ';Status ' || o_orderstatus || ';' || substr(o_orderpriority, 3, 20) || chr(9)
+       || chr(9) || year(o_orderdate) || chr(9) || CAST(trunc(o_totalprice) AS BIGINT) || repeat(chr(9), 5)
+       || printf('%.8f', CAST(trunc(o_totalprice) AS BIGINT) / 4e0) || repeat(chr(9), 12) AS line
+FROM orders
+"""
+SQL["A6_convert"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist,
+       'c' || o_custkey || '|status-' || o_orderstatus || '|prio-' || substr(o_orderpriority, 1, 1) AS playlist_ids FROM orders
+"""

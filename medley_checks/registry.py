@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medley import bindings as B
-from medley.operators import features, membership, outliers, overlaps
+from medley.functions import arrays
+from medley.operators import enrich, export, features, match, membership, merge, outliers, overlaps, reports
 from medley.operators.features import Weights
+from medley.plans.skew import shared_folder
 from medley.schema import AUDIO_FIELDS, ID
+from medley.sources import lookups, services, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -141,3 +145,251 @@ def B6_membership_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = B.order_items(spark, sf_dir)
     names = F.when(F.col("album") == "P", F.slice("playlist_names", 1, 2)).otherwise(F.col("playlist_names"))
     return membership.membership_mismatches(items.withColumn("playlist_names", names))
+
+
+# --- enrichment ---
+
+
+@query
+def C1_enrich_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.as_tracks(B.part_items(spark, sf_dir))
+    out = enrich.enrich_features(items, B.feature_answers(spark, sf_dir))
+    names = ("tempo", "energy", "loudness", "danceability", "feature_match_confidence")
+    return rounded(out, *names).select(ID, "feature_source", *names)
+
+
+@query
+def C2_enrich_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.as_tracks(B.part_items(spark, sf_dir))
+    out = enrich.enrich_genres(items, B.genre_answers(spark, sf_dir), level="best")
+    return joined(out.select(ID, "genres", "genre_source", "genre_match_confidence"), "genres")
+
+
+@query
+def C3_extract_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = B.genre_answers(spark, sf_dir)
+    picks = [
+        answers.select("key", F.lit(level).alias("level"), enrich.extract_genres(F.col("payload"), level).alias("p"))
+        for level in enrich.LEVELS
+    ]
+    out = picks[0].union(picks[1]).union(picks[2]).union(picks[3]).select("key", "level", "p.source", "p.confidence", "p.genres")
+    return joined(out, "genres")
+
+
+@query
+def C4_union_genre_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.array(F.try_parse_json("payload"))
+    out = B.genre_answers(spark, sf_dir).select(
+        "key",
+        enrich.union_genre_items(record, ("top_genres", "genres")).alias("genres"),
+        enrich.mean_level(record).alias("level"),
+    )
+    return joined(out, "genres")
+
+
+@query
+def C5_lookup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.part_items(spark, sf_dir)
+    album = F.when(F.col("album") == "SMALL", F.lit("  ")).otherwise(F.concat(F.lit(" "), "album"))
+    return items.select(ID, lookups.lookup_key("getgenre", F.col("artist"), album).alias("key"))
+
+
+@query
+def C6_pending_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = B.part_items(spark, sf_dir).select(lookups.lookup_key("getgenre", F.col("artist"), F.col("album")).alias("key"))
+    stored = B.genre_answers(spark, sf_dir)
+    return lookups.pending_lookups(wanted, stored, recheck=True, exhausted=True)
+
+
+def _event_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("service"),
+        F.col("user_id").cast("string").alias("key"),
+        F.col("props").alias("payload"),
+        F.col("event_id").alias("version"),
+        "ts",
+    )
+
+
+@query
+def C7_upsert_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _event_answers(spark, sf_dir)
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    return lookups.upsert_lookup(events.where(F.col("ts") < cut).drop("ts"), events.where(F.col("ts") >= cut).drop("ts"))
+
+
+def _merged(spark: SparkSession, sf_dir: str, inputs: str, metadata: str = "") -> DataFrame:
+    out = merge.merge_libraries(
+        [B.line_library(spark, sf_dir, f) for f in inputs], [B.line_library(spark, sf_dir, f) for f in metadata]
+    )
+    lists = ("playlist_ids", "playlist_names", "genres")
+    return joined(out.select("pos", ID, "title", "isrc", "year", "duration_ms", *lists), *lists)
+
+
+@query
+def C8_merge_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "ANR")
+
+
+@query
+def C9_merge_metadata_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "A", "NR")
+
+
+@query
+def C10_merge_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "RA")
+
+
+@query
+def C11_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    incoming = F.array(F.col("album"), F.lower("album"), F.col("artist"), F.lower("album"))
+    out = B.part_items(spark, sf_dir).select(ID, arrays.ordered_union("genres", incoming).alias("genres"))
+    return joined(out, "genres")
+
+
+@query
+def C12_match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = B.table(spark, sf_dir, "part")
+    swapped = F.array_join(F.reverse(F.split(F.upper("p_name"), " ")), "  ")
+    queries = parts.select(
+        F.col("p_partkey").alias("query_id"),
+        F.when(F.col("p_size") < 5, F.concat_ws(" ", swapped, "p_type")).otherwise(swapped).alias("title"),
+        F.when(F.col("p_size") < 25, F.col("p_brand")).otherwise(F.lit("")).alias("artist"),
+        F.when(F.col("p_size") < 10, F.lit("PROMO")).when(F.col("p_size") > 45, F.lit("nowhere")).otherwise(F.lit("")).alias("album"),
+    )
+    return match.match_text(queries, B.part_items(spark, sf_dir))
+
+
+@query
+def H1_enrichment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.as_tracks(B.part_items(spark, sf_dir))
+    out = enrich.enrich_genres(enrich.enrich_features(items, B.feature_answers(spark, sf_dir)), B.genre_answers(spark, sf_dir))
+    return enrich.enrichment_summary(out)
+
+
+# --- ingest ---
+
+
+@query
+def A7_normalize_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.normalize_playlists(B.raw_playlists(spark, sf_dir))
+
+
+@query
+def A8_normalize_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.normalize_tracks(B.item_pages(spark, sf_dir), B.PAGE_ORDER)
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = services.normalize_tracks(B.item_pages(spark, sf_dir), B.PAGE_ORDER)
+    return services.collect_library(rows, B.PAGE_ORDER, [F.shiftright("l_orderkey", 4)])
+
+
+@query
+def A9_collect_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _library(spark, sf_dir)[0].select(ID, "first_at.l_orderkey", "first_at.l_linenumber", *services.ATTRIBUTES)
+
+
+@query
+def A9_collect_library_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _library(spark, sf_dir)[1]
+
+
+@query
+def A9_library_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = membership.implode_memberships(_library(spark, sf_dir)[1])
+    return joined(lists, "playlist_ids", "playlist_names")
+
+
+@query
+def A10_changed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    playlists = services.normalize_playlists(B.raw_playlists(spark, sf_dir))
+    returned = B.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias(ID)).distinct()
+    stored = playlists.join(returned, ID)
+    return services.changed_groups(playlists, stored).select(ID, "snapshot_id")
+
+
+# --- exports ---
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cluster = F.nullif(F.floor(F.col("duration") / 10) - 1, F.lit(3)).cast("int")
+    items = B.part_items(spark, sf_dir).withColumn("duration", F.col("year") - 1950)
+    return items.withColumn("cluster_id", cluster)
+
+
+@query
+def A11_group_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(export.group_export(_clustered(spark, sf_dir)), "track_ids")
+
+
+@query
+def A12_batched_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(export.batched_export(B.supplier_members(spark, sf_dir), ["group_id"]), "track_ids")
+
+
+@query
+def H2_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cluster_summary(_clustered(spark, sf_dir))
+
+
+@query
+def G5_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.as_tracks(B.part_items(spark, sf_dir))
+    return joined(export.merge_groups(items, "Everything"), "track_ids")
+
+
+@query
+def A14_outlier_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = outliers.top_outliers(B.part_members(spark, sf_dir), top_n=3)
+    return reports.outlier_listing(top, B.part_items(spark, sf_dir))
+
+
+# --- files ---
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Write the order items in a format to the shared folder and read them back."""
+    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.{fmt}"
+    items = B.order_items(spark, sf_dir).withColumn("energy", F.col("duration_ms") / F.lit(3e0))
+    tracks.write_tracks(items, path)
+    back = tracks.read_tracks(spark, path)
+    names = ("playlist_ids", "playlist_names", "genres")
+    return joined(rounded(back, "energy").drop("pos"), *names).select(
+        ID, "title", "artist", "album", "year", "duration_ms", "energy", "isrc", *names
+    )
+
+
+@query
+def A2_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "jsonl")
+
+
+@query
+def A3_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "csv")
+
+
+@query
+def A4_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.json"
+    tracks.write_tracks(B.order_items(spark, sf_dir), path)
+    text = spark.read.text(path)
+    return text.select(F.get_json_object("value", "$.spotify_id").alias(ID), F.get_json_object("value", "$.artist").alias("artist"))
+
+
+@query
+def A5_write_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.tsv"
+    tracks.write_tracks(B.order_items(spark, sf_dir).withColumn("tempo", F.col("duration_ms") / F.lit(4e0)), path)
+    return spark.read.text(path).where(~F.startswith("value", F.lit("spotify_id"))).select(F.col("value").alias("line"))
+
+
+@query
+def A6_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    first, second = (f"{folder}/medley-{uuid.uuid4().hex}.{fmt}" for fmt in ("parquet", "tab"))
+    tracks.write_tracks(B.order_items(spark, sf_dir), first)
+    tracks.convert(spark, first, second)
+    return joined(tracks.read_tracks(spark, second).select(ID, "title", "artist", "playlist_ids"), "playlist_ids")
