@@ -160,7 +160,7 @@ def genre_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAGE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+PAGE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

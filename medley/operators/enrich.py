@@ -56,7 +56,11 @@ def genre_texts(item: Column, key: str) -> Column:
 
 def union_genre_items(items: Column, keys: Sequence[str]) -> Column:
     """Genres of several records, tier by tier, each once in order of first appearance."""
-    tiers = [F.flatten(F.transform(items, lambda i, k=key: genre_texts(i, k))) for key in keys]
+
+    def tier(key: str) -> Column:
+        return F.flatten(F.transform(items, lambda item: genre_texts(item, key)))
+
+    tiers = [tier(key) for key in keys]
     return F.array_distinct(F.concat(*tiers))
 
 
@@ -67,7 +71,8 @@ def mean_level(items: Column) -> Column:
     return F.when(F.size(items) > 0, total / F.size(items)).otherwise(F.lit(0.0))
 
 
-# Tiers of each level: (keys, word in the provenance text), tried in order for album, then artists.
+# Tiers of each level: (lists taken together, word in the provenance text), tried in order for the
+# album record and then for the artist records.
 TIERS = {
     "top": ((("top_genres",), "top"),),
     "best": ((("top_genres",), "top"), (("genres",), "validated"), (("unvalidated_genres",), "unvalidated")),
@@ -76,31 +81,38 @@ TIERS = {
 }
 
 
-def extract_genres(payload: Column, level: str = "best") -> Column:
-    """(source, confidence, genres) picked from one genre answer (JSON text): album tiers, then artist tiers."""
+def extract_genres(answers: DataFrame, level: str = "best") -> DataFrame:
+    """(key, source, confidence, genres) picked from every genre answer: album tiers, then artist tiers.
+
+    `answers` has key and payload (JSON text). Unmatched answers have source null.
+    """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
-    answer = F.try_parse_json(F.coalesce(payload, F.lit("{}")))
-    none = F.array().cast("array<variant>")
-    scopes = (
-        ("album", F.array(answer)),
-        ("artist", F.coalesce(F.try_variant_get(answer, "$.album_artists", "array<variant>"), none)),
+    parsed = answers.select("key", F.try_parse_json(F.coalesce("payload", F.lit("{}"))).alias("_answer")).select(
+        "key",
+        F.array("_answer").alias("_album"),
+        F.coalesce(
+            F.try_variant_get("_answer", "$.album_artists", "array<variant>"), F.array().cast("array<variant>")
+        ).alias("_artist"),
+    )
+    tiers = [(scope, word, keys) for scope in ("album", "artist") for keys, word in TIERS[level]]
+    listed = parsed.select(
+        "key",
+        *[mean_level(F.col(f"_{scope}")).alias(f"_level_{scope}") for scope in ("album", "artist")],
+        *[union_genre_items(F.col(f"_{scope}"), keys).alias(f"_{scope}_{word}") for scope, word, keys in tiers],
     )
-    picks = [
-        F.struct(
-            F.lit(f"{GENRE_SERVICE} {scope} {word}").alias("source"),
-            mean_level(items).alias("confidence"),
-            union_genre_items(items, keys).alias("genres"),
-        )
-        for scope, items in scopes
-        for keys, word in TIERS[level]
-    ]
-    missing = F.struct(
-        F.lit(UNMATCHED).alias("source"),
-        F.lit(0.0).alias("confidence"),
-        F.array().cast("array<string>").alias("genres"),
+    source, confidence, genres = F, F, F
+    for scope, word, _ in tiers:
+        found = F.size(f"_{scope}_{word}") > 0
+        source = source.when(found, F.lit(f"{GENRE_SERVICE} {scope} {word}"))
+        confidence = confidence.when(found, F.col(f"_level_{scope}"))
+        genres = genres.when(found, F.col(f"_{scope}_{word}"))
+    return listed.select(
+        "key",
+        source.alias("source"),
+        confidence.otherwise(F.lit(0.0)).alias("confidence"),
+        genres.otherwise(F.array().cast("array<string>")).alias("genres"),
     )
-    return F.coalesce(F.try_element_at(F.filter(F.array(*picks), lambda p: F.size(p["genres"]) > 0), F.lit(1)), missing)
 
 
 def enrich_genres(
@@ -112,8 +124,8 @@ def enrich_genres(
     first left unmatched; the others get a key of their own that no answer has, which spreads them
     evenly over the tasks.
     """
-    picks = answers.select(F.col("key").alias("_key"), extract_genres(F.col("payload"), level).alias("_pick")).where(
-        F.col("_pick.source") != UNMATCHED
+    picks = extract_genres(answers, level).select(
+        F.col("key").alias("_key"), F.when(F.col("source").isNotNull(), F.struct("source", "confidence", "genres")).alias("_pick")
     )
     artist, album = F.col("artist"), F.col("album")
     unused = F.concat(F.lit("\u0001"), F.col("pos").cast("string"))

@@ -282,7 +282,7 @@ def libraries(files: str) -> str:
     order = "".join(f" WHEN '{f}' THEN {i}" for i, f in enumerate(files))
     return f"""
 lines AS (
-  SELECT *, (l_orderkey << 15) + row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos
+  SELECT *, (l_orderkey << 15) + row_number() OVER (PARTITION BY l_returnflag, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
   FROM lineitem),
 lib AS (
   SELECT CAST(l_partkey AS VARCHAR) AS spotify_id, p_name AS title, CASE l_returnflag {order} END AS file, pos,
@@ -302,15 +302,15 @@ def merged(files: str, main: int) -> str:
     return f"""
 WITH {libraries(files)},
 heads AS (SELECT spotify_id, occ, min(file) FILTER (WHERE file < {main}) AS f, {first} FROM lib GROUP BY 1, 2),
-at AS (SELECT heads.*, (CAST(f AS BIGINT) << 55) + lib.pos AS pos FROM heads JOIN lib ON heads.f = lib.file
+placed AS (SELECT heads.*, (CAST(f AS BIGINT) << 55) + lib.pos AS pos FROM heads JOIN lib ON heads.f = lib.file
        AND heads.spotify_id = lib.spotify_id AND heads.occ = lib.occ),
 names AS (SELECT spotify_id, occ, gid, min(file) AS file, arg_min(gname, file) AS gname FROM lib WHERE file < {main} GROUP BY 1, 2, 3),
 groups_ AS (SELECT spotify_id, occ, string_agg(gid, '|' ORDER BY file) AS ids, string_agg(gname, '|' ORDER BY file) AS names FROM names GROUP BY 1, 2),
 words AS (SELECT spotify_id, occ, file, unnest(genres) AS g, generate_subscripts(genres, 1) AS i FROM lib),
-once AS (SELECT spotify_id, occ, g, min(file * 10 + i) AS at FROM words GROUP BY 1, 2, 3),
-genre AS (SELECT spotify_id, occ, string_agg(g, '|' ORDER BY at) AS genres FROM once GROUP BY 1, 2)
+once AS (SELECT spotify_id, occ, g, min(file * 10 + i) AS seen FROM words GROUP BY 1, 2, 3),
+genre AS (SELECT spotify_id, occ, string_agg(g, '|' ORDER BY seen) AS genres FROM once GROUP BY 1, 2)
 SELECT pos, spotify_id, title, isrc, year, duration_ms, ids AS playlist_ids, names AS playlist_names, genres
-FROM at JOIN groups_ USING (spotify_id, occ) JOIN genre USING (spotify_id, occ)
+FROM placed JOIN groups_ USING (spotify_id, occ) JOIN genre USING (spotify_id, occ)
 """
 
 
@@ -348,7 +348,7 @@ FROM orders
 """
 PULLED = """
 pulled AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey AS VARCHAR) AS spotify_id, p_name AS title,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_partkey AS VARCHAR) AS spotify_id, p_name AS title,
          CASE WHEN l_discount IN (0, 0.01) THEN 'Unknown' ELSE p_brand END AS artist, p_type AS album,
          CAST(l_orderkey AS VARCHAR) AS group_id, 'Order ' || l_orderkey AS group_name,
          CASE WHEN p_size > 10 THEN 'I' || p_size END AS isrc,
@@ -358,7 +358,7 @@ pulled AS (
   WHERE l_tax <> 0 AND NOT (l_linestatus = 'O' AND l_quantity = 1))
 """
 SQL["A8_normalize_tracks"] = f"WITH {PULLED} SELECT 0 AS item_idx, * FROM pulled"
-_FIRST = "row_number() OVER (PARTITION BY spotify_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_FIRST = "row_number() OVER (PARTITION BY spotify_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 SQL["A9_collect_library"] = f"""
 WITH {PULLED} SELECT spotify_id, l_orderkey, l_linenumber, title, artist, album, isrc, year, duration_ms, added_at
 FROM pulled QUALIFY {_FIRST} = 1
@@ -368,8 +368,8 @@ WITH {PULLED} SELECT spotify_id, {_FIRST} - 1 AS m_idx, group_id, group_name FRO
 """
 SQL["A9_library_lists"] = f"""
 WITH {PULLED} SELECT spotify_id, CAST(0 AS BIGINT) AS part,
-       string_agg(group_id, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS playlist_ids,
-       string_agg(group_name, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS playlist_names
+       string_agg(group_id, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS playlist_ids,
+       string_agg(group_name, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS playlist_names
 FROM pulled GROUP BY 1
 """
 SQL["A10_changed_groups"] = """

@@ -168,12 +168,9 @@ def C2_enrich_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def C3_extract_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = B.genre_answers(spark, sf_dir)
-    picks = [
-        answers.select("key", F.lit(level).alias("level"), enrich.extract_genres(F.col("payload"), level).alias("p"))
-        for level in enrich.LEVELS
-    ]
-    out = picks[0].union(picks[1]).union(picks[2]).union(picks[3]).select("key", "level", "p.source", "p.confidence", "p.genres")
-    return joined(out, "genres")
+    picks = [enrich.extract_genres(answers, level).withColumn("level", F.lit(level)) for level in enrich.LEVELS]
+    out = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3])
+    return joined(out.fillna(enrich.UNMATCHED, "source"), "genres")
 
 
 @query
