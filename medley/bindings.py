@@ -6,6 +6,7 @@ own columns name the groups they are in. Everything is read whole.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medley.plans.skew import running_number
@@ -234,3 +235,21 @@ def line_library(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
             F.array(F.lower("l_returnflag"), F.col("album"), F.concat(F.lit("q"), (F.col("l_quantity") / 10).cast("int"))).alias("genres"),
         )
     )
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as items: title from the markup, host as artist."""
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("pos"),
+        F.col("page_id").cast("string").alias(ID),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+        F.regexp_extract("url", "//([^/?#]*)", 1).alias("artist"),
+        F.regexp_extract("url", r"//[^/?#]*([^?#]*)", 1).alias("isrc"),
+    )
+
+
+def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as feature vectors, with their label."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label"
+    )

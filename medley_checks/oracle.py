@@ -426,3 +426,88 @@ SQL["A6_convert"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist,
        'c' || o_custkey || '|status-' || o_orderstatus || '|prio-' || substr(o_orderpriority, 1, 1) AS playlist_ids FROM orders
 """
+
+# Blanks as Unicode defines them.
+BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '{BLANKS}', ' ', 'g'))"
+
+
+def token_sorted(x: str) -> str:
+    return f"array_to_string(list_sort(string_split({norm(x)}, ' ')), ' ')"
+
+
+def similarity(a: str, b: str) -> str:
+    """2 * LCS / (len a + len b) of two texts of at most 120 characters, LCS by bit masks."""
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = ch THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT"
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    state = f"list_reduce(string_split({b}, ''), lambda s, ch: ((s + (s & {mask})) | (s - (s & {mask}))) & {full}, {full})"
+    return (
+        f"CASE WHEN {a} = {b} THEN 1e0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0e0 "
+        f"ELSE 2e0 * (length({a}) - bit_count({state})) / (length({a}) + length({b})) END"
+    )
+
+
+SQL["G3_norm_text"] = f"SELECT doc_id, {norm('text')} AS text FROM documents"
+SQL["G4_token_sort_similarity"] = f"""
+WITH t AS (SELECT p_partkey, {token_sorted("p_name || ' ' || p_type")} AS a, {token_sorted("upper(p_type || '  ' || p_brand || '  ' || p_name)")} AS b,
+                  {token_sorted('p_name')} AS c, {token_sorted('p_brand')} AS d FROM part),
+k AS (SELECT DISTINCT a, b, c, d FROM t), s AS (SELECT *, {similarity('a', 'b')} AS x, {similarity('c', 'd')} AS y FROM k)
+SELECT p_partkey, round(x, 6) + 0e0 AS whole, round(y, 6) + 0e0 AS name FROM t JOIN s USING (a, b, c, d)
+"""
+SQL["G1_same_code"] = f"""
+WITH {ITEMS}, led AS (SELECT *, first_value(spotify_id) OVER (PARTITION BY isrc ORDER BY pos) AS leader FROM items WHERE isrc IS NOT NULL)
+SELECT leader AS track_a_id, spotify_id AS track_b_id, 1e0 AS similarity FROM led WHERE leader <> spotify_id
+"""
+DUPLICATES = f"""
+found AS (
+  SELECT page_id AS pos, CAST(page_id AS VARCHAR) AS id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+         regexp_extract(url, '//([^/?#]*)', 1) AS artist, nullif(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '') AS isrc FROM pages),
+keyed AS (SELECT *, {token_sorted('title')} AS tk, {token_sorted('artist')} AS ak FROM found),
+firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY tk, ak ORDER BY pos) = 1),
+titles AS (SELECT DISTINCT tk FROM keyed), artists AS (SELECT DISTINCT ak FROM keyed),
+title_pairs AS (SELECT * FROM (SELECT x.tk AS p, y.tk AS q, {similarity('x.tk', 'y.tk')} AS s FROM titles x JOIN titles y ON x.tk < y.tk)
+                WHERE s > 0.85e0),
+title_sims AS (SELECT * FROM title_pairs UNION ALL SELECT q, p, s FROM title_pairs UNION ALL SELECT tk, tk, 1e0 FROM titles),
+artist_sims AS (SELECT x.ak AS p, y.ak AS q, {similarity('x.ak', 'y.ak')} AS s FROM artists x JOIN artists y ON true),
+text_pairs AS (
+  SELECT a.pos AS pa, b.pos AS pb, round_even(0.7e0 * t.s + 0.3e0 * r.s, 3) AS similarity, 'text' AS match
+  FROM firsts a JOIN title_sims t ON t.p = a.tk JOIN firsts b ON b.tk = t.q AND b.pos > a.pos JOIN artist_sims r ON r.p = a.ak AND r.q = b.ak
+  WHERE 0.7e0 * t.s + 0.3e0 * r.s >= 0.9e0 - 1e-12),
+pairs AS (
+  SELECT * FROM text_pairs
+  UNION ALL SELECT f.pos, k.pos, 1e0, 'copy' FROM keyed k JOIN firsts f USING (tk, ak) WHERE f.pos <> k.pos
+  UNION ALL SELECT l, pos, 1e0, 'isrc' FROM (SELECT pos, min(pos) OVER (PARTITION BY isrc) AS l FROM keyed WHERE isrc IS NOT NULL) WHERE l <> pos)
+"""
+SQL["G1_find_duplicate_rows"] = f"""
+WITH {DUPLICATES}
+SELECT a.id AS track_a_id, b.id AS track_b_id, a.title AS title_a, b.title AS title_b, a.artist AS artist_a, b.artist AS artist_b,
+       similarity, match, pa AS pos_a, pb AS pos_b
+FROM pairs JOIN found a ON a.pos = pa JOIN found b ON b.pos = pb
+"""
+_OVERLAPS = "(SELECT a, b FROM shared WHERE CAST(s AS DOUBLE) / (na + nb - s) >= {t}e0 UNION ALL SELECT leader, doc_id FROM sets WHERE doc_id <> leader)"
+SQL["G6_dedupe_command"] = f"""
+WITH {DUPLICATES}, {WORDS}
+SELECT 'duplicate_tracks' AS section, CAST(pa AS VARCHAR) AS a, CAST(pb AS VARCHAR) AS b FROM pairs
+UNION ALL SELECT 'playlist_overlaps', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM {_OVERLAPS.format(t='0.8')}
+"""
+SQL["A13_dedupe_report"] = f"""
+WITH {ITEMS}, {WORDS}
+SELECT (SELECT count(*) - count(DISTINCT isrc) FROM items WHERE isrc IS NOT NULL) AS duplicate_tracks,
+       (SELECT count(*) FROM {_OVERLAPS.format(t='0.9')}) AS playlist_overlaps
+"""
+
+SQL["E2_silhouette"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v, label FROM embeddings),
+sums AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(array_distance(a.v, b.v)) AS total, count(*) AS n
+         FROM e a JOIN e b ON true GROUP BY ALL),
+ab AS (SELECT vec_id, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN total / nullif(n - 1, 0) END) AS a,
+              min(CASE WHEN c <> own THEN total / n END) AS b FROM sums GROUP BY ALL)
+SELECT 'label' AS labelling, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END), 6) + 0e0 AS silhouette
+FROM ab
+"""
+SQL["E5_cluster_command"] = """
+SELECT count(*) AS tracks, CAST(4 AS BIGINT) AS clusters FROM orders WHERE o_orderstatus = 'F'
+"""

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medley import bindings as B
-from medley.functions import arrays
-from medley.operators import enrich, export, features, match, membership, merge, outliers, overlaps, reports
+from medley.functions import arrays, text
+from medley.operators import density, duplicates, enrich, export, features, kmeans, match, membership, merge, outliers, overlaps, reports
 from medley.operators.features import Weights
-from medley.plans.skew import shared_folder
+from medley.plans.skew import materialized, shared_folder
 from medley.schema import AUDIO_FIELDS, ID
 from medley.sources import lookups, services, tracks
 
@@ -372,8 +372,8 @@ def A3_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def A4_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.json"
     tracks.write_tracks(B.order_items(spark, sf_dir), path)
-    text = spark.read.text(path)
-    return text.select(F.get_json_object("value", "$.spotify_id").alias(ID), F.get_json_object("value", "$.artist").alias("artist"))
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.spotify_id").alias(ID), F.get_json_object("value", "$.artist").alias("artist"))
 
 
 @query
@@ -390,3 +390,86 @@ def A6_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks.write_tracks(B.order_items(spark, sf_dir), first)
     tracks.convert(spark, first, second)
     return joined(tracks.read_tracks(spark, second).select(ID, "title", "artist", "playlist_ids"), "playlist_ids")
+
+
+# --- near-duplicate items ---
+
+
+@query
+def G1_find_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.find_duplicate_rows(B.page_items(spark, sf_dir), threshold=0.9)
+
+
+@query
+def G1_same_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.part_items(spark, sf_dir)
+    return duplicates.same_code(duplicates.duplicate_keys(items)).select("track_a_id", "track_b_id", "similarity")
+
+
+@query
+def G3_norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "documents").select("doc_id", text.norm_text("text").alias("text"))
+
+
+@query
+def G4_token_sort_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.concat_ws(" ", "p_name", "p_type"), F.concat_ws("  ", "p_type", "p_brand", "p_name")
+    out = B.table(spark, sf_dir, "part").select(
+        "p_partkey", text.token_sort_similarity(a, F.upper(b)).alias("whole"), text.token_sort_similarity("p_name", "p_brand").alias("name")
+    )
+    return rounded(out, "whole", "name")
+
+
+@query
+def G6_dedupe_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.find_duplicate_rows(B.page_items(spark, sf_dir), threshold=0.9)
+    overlap = overlaps.find_group_overlaps(B.word_members(spark, sf_dir), threshold=0.8)
+    report = reports.dedupe_report(found, overlap)
+    return report.select(
+        "section",
+        F.coalesce(F.get_json_object("record", "$.track_a_id"), F.get_json_object("record", "$.playlist_a_id")).alias("a"),
+        F.coalesce(F.get_json_object("record", "$.track_b_id"), F.get_json_object("record", "$.playlist_b_id")).alias("b"),
+    )
+
+
+@query
+def A13_dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = duplicates.same_code(duplicates.duplicate_keys(B.part_items(spark, sf_dir)))
+    overlap = overlaps.find_group_overlaps(B.word_members(spark, sf_dir), threshold=0.9)
+    return reports.write_dedupe_report(same, overlap, f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}")
+
+
+# --- clusters ---
+
+
+@query
+def E1_choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialized(B.embedding_vectors(spark, sf_dir))
+    best, scores = kmeans.choose_k(vectors)
+    rows = [(k, round(score, 6), k == best) for k, score in scores.items()]
+    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+
+
+@query
+def E2_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialized(B.embedding_vectors(spark, sf_dir))
+    score = kmeans.silhouettes(vectors, ["label"], vectors.count())["label"]
+    return rounded(spark.createDataFrame([("label", score)], "labelling string, silhouette double"), "silhouette")
+
+
+@query
+def E3_cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialized(B.embedding_vectors(spark, sf_dir))
+    return kmeans.cluster_vectors(vectors, 10).select("row", "label", "cluster_id")
+
+
+@query
+def E4_cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.as_tracks(B.part_items(spark, sf_dir))
+    return density.cluster_density(items).select(ID, "cluster_id")
+
+
+@query
+def E5_cluster_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = kmeans.cluster_items(B.order_items(spark, sf_dir), k=4, playlists=["status f"])
+    return reports.cluster_summary(clustered)
