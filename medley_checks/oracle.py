@@ -511,3 +511,20 @@ FROM ab
 SQL["E5_cluster_command"] = """
 SELECT count(*) AS tracks, CAST(4 AS BIGINT) AS clusters FROM orders WHERE o_orderstatus = 'F'
 """
+
+SQL["F3_outlier_command"] = f"""
+WITH listed AS (
+  SELECT o_orderkey AS pos, year(o_orderdate) AS year, trunc(o_totalprice) / 2000e0 AS tempo, o_orderpriority AS title,
+         'Customer ' || o_custkey AS artist,
+         unnest([{{'i': 1, 'id': 'status-' || o_orderstatus, 'name': 'Status ' || o_orderstatus}},
+                 {{'i': 2, 'id': 'prio-' || substr(o_orderpriority, 1, 1), 'name': substr(o_orderpriority, 3, 20)}}]) AS m
+  FROM orders),
+rows_ AS (SELECT pos, year, tempo, title, artist, m.i AS m_idx, m.id AS group_id, m.name AS group_name FROM listed),
+{scaled('rows_', 'group_id', ('tempo', 'year'))},
+dist AS (SELECT *, sqrt(tempo_z * tempo_z + (year_z * 0.3e0) * (year_z * 0.3e0)) AS d FROM z),
+scored AS (SELECT *, max(d) OVER (PARTITION BY group_id) AS far, min(d) OVER (PARTITION BY group_id) AS near,
+           row_number() OVER (PARTITION BY group_id ORDER BY round(d, 9) DESC, pos, m_idx) AS rank FROM dist)
+SELECT group_id, group_name AS heading, CAST(rank AS INTEGER) AS rank,
+       printf('  %.3f  %s — %s', (d - near) / (far - near), artist, title) AS line
+FROM scored WHERE rank <= 4
+"""

@@ -11,6 +11,7 @@ from medley import bindings as B
 from medley.functions import arrays, text
 from medley.operators import density, duplicates, enrich, export, features, kmeans, match, membership, merge, outliers, overlaps, reports
 from medley.operators.features import Weights
+from medley.plans import commands
 from medley.plans.skew import materialized, shared_folder
 from medley.schema import AUDIO_FIELDS, ID
 from medley.sources import lookups, services, tracks
@@ -473,3 +474,9 @@ def E4_cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def E5_cluster_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     clustered = kmeans.cluster_items(B.order_items(spark, sf_dir), k=4, playlists=["status f"])
     return reports.cluster_summary(clustered)
+
+
+@query
+def F3_outlier_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = B.order_items(spark, sf_dir).withColumn("tempo", F.col("duration_ms") / F.lit(2000e0))
+    return commands.list_outliers(items, playlists=["status", "prio"], top_n=4)
