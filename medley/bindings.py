@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from medley.functions.arrays import or_empty
 from medley.plans.skew import running_number
-from medley.schema import AUDIO_FIELDS, ID, LIST_FIELDS, TRACK_FIELDS, TRACK_SCHEMA
+from medley.schema import ID, LIST_FIELDS, TRACK_SCHEMA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_tracks(df: DataFrame) -> DataFrame:
     """Add the track fields a frame lacks (null, or an empty list) and put all in the fixed order."""
-    types = {f.name: f.dataType for f in TRACK_SCHEMA.fields}
-    missing = {
-        f: (F.array() if f in LIST_FIELDS else F.lit(None)).cast(types[f]) for f in TRACK_FIELDS if f not in df.columns
-    }
-    return df.withColumns(missing).select("pos", *[F.col(f).cast(types[f]).alias(f) for f in TRACK_FIELDS])
+    cells = []
+    for f in TRACK_SCHEMA.fields:
+        cell = F.col(f.name) if f.name in df.columns else F.lit(None)
+        cell = or_empty(cell.cast(f.dataType)) if f.name in LIST_FIELDS else cell.cast(f.dataType)
+        cells.append(cell.alias(f.name))
+    return df.select("pos", *cells)
 
 
 def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
