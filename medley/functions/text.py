@@ -38,20 +38,38 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+def _similarity(a: str, b: str) -> float:
+    """One minus the share of inserted and deleted characters, taken through percent as it is published."""
+    if a == b:
+        return 1.0
+    total = len(a) + len(b)
+    return (1.0 - (total - 2 * _common_subsequence(a, b)) / total) * 100.0 / 100.0
+
+
 @F.pandas_udf(DoubleType())
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * LCS / (len a + len b); two empty texts are equal."""
-    return pd.Series(
-        [
-            None
-            if x is None or y is None
-            else (1.0 if x == y else 2.0 * _common_subsequence(x, y) / (len(x) + len(y)))
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
-    )
+    """Normalised similarity 2 * LCS / (len a + len b); two empty texts are equal."""
+    return pd.Series([None if x is None or y is None else _similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def token_sort_similarity(a: Column | str, b: Column | str) -> Column:
     """Similarity 0..1 of two texts, blind to case, blanks and word order."""
     return lcs_similarity(token_sort(norm_text(a)), token_sort(norm_text(b)))
+
+
+def round_half_even(x: str, digits: int = 3) -> Column:
+    """A value in 0..1 rounded by its exact binary value, ties to even, as SQL over the expression `x`.
+
+    Rounding by the printed decimals would send 0.8875, which is stored slightly below, upwards.
+    """
+    scale = 10**digits
+
+    def at(bits: int) -> str:
+        # x * 2**bits is a whole number of at most 61 bits for the values this branch gets.
+        unit = 1 << bits
+        scaled = f"cast(cast(({x}) * {float(unit)!r}D as bigint) as decimal(20,0)) * {scale}"
+        whole, rest = f"({scaled}) div {unit}BD", f"2 * (({scaled}) % {unit}BD)"
+        up = f"if({rest} > {unit}BD or ({rest} = {unit}BD and ({whole}) % 2 = 1), 1, 0)"
+        return f"cast({whole} + {up} as double) / {scale}D"
+
+    return F.expr(f"if(({x}) < 0.0078125D, {at(67)}, {at(60)})")

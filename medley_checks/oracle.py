@@ -81,6 +81,16 @@ scored AS (SELECT *, max(d) OVER (PARTITION BY {scope}) AS far, min(d) OVER (PAR
 SCORE = "round(CASE WHEN n < 3 OR far - near < 1e-12 THEN 0e0 ELSE (d - near) / (far - near) END, 6) + 0e0"
 MEMBERS = "rows_ AS (SELECT supply.m_idx, supply.group_id, supply.group_name, items.* FROM supply JOIN items USING (pos))"
 
+
+
+def rounded(x: str) -> str:
+    """A value in 0..1 to 3 digits by its exact binary value, ties to even."""
+    n = f"(CAST({x} * 1152921504606846976e0 AS HUGEINT) * 1000)"
+    unit = "1152921504606846976::HUGEINT"
+    up = f"CASE WHEN 2 * ({n} % {unit}) > {unit} OR (2 * ({n} % {unit}) = {unit} AND ({n} // {unit}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST({n} // {unit} + {up} AS DOUBLE) / 1000e0"
+
+
 SQL["F1_score_outliers"] = f"""
 WITH {ITEMS}, one AS (SELECT *, 0 AS m_idx, 'all' AS group_id FROM items),
 {scaled('one', 'group_id', NUMERIC)}, {distances('group_id')}
@@ -109,7 +119,7 @@ WITH {WORDS}, pairs AS (
   SELECT a, b, s, CAST(s AS DOUBLE) / (na + nb - s) AS j FROM shared WHERE CAST(s AS DOUBLE) / (na + nb - s) >= 0.6e0
   UNION ALL SELECT leader, doc_id, len(bag), 1e0 FROM sets WHERE doc_id <> leader)
 SELECT CAST(a AS VARCHAR) AS playlist_a_id, CAST(b AS VARCHAR) AS playlist_b_id, x.name AS playlist_a_name,
-       y.name AS playlist_b_name, s AS shared_track_count, round_even(j, 3) AS jaccard_similarity
+       y.name AS playlist_b_name, s AS shared_track_count, {rounded("j")} AS jaccard_similarity
 FROM pairs JOIN words x ON x.doc_id = a JOIN words y ON y.doc_id = b
 """
 
@@ -446,7 +456,7 @@ def similarity(a: str, b: str) -> str:
     state = f"list_reduce(string_split({b}, ''), lambda s, ch: ((s + (s & {mask})) | (s - (s & {mask}))) & {full}, {full})"
     return (
         f"CASE WHEN {a} = {b} THEN 1e0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0e0 "
-        f"ELSE 2e0 * (length({a}) - bit_count({state})) / (length({a}) + length({b})) END"
+        f"ELSE (1e0 - (length({a}) + length({b}) - 2 * (length({a}) - bit_count({state}))) / CAST(length({a}) + length({b}) AS DOUBLE)) * 100e0 / 100e0 END"
     )
 
 
@@ -473,9 +483,9 @@ title_pairs AS (SELECT * FROM (SELECT x.tk AS p, y.tk AS q, {similarity('x.tk',
 title_sims AS (SELECT * FROM title_pairs UNION ALL SELECT q, p, s FROM title_pairs UNION ALL SELECT tk, tk, 1e0 FROM titles),
 artist_sims AS (SELECT x.ak AS p, y.ak AS q, {similarity('x.ak', 'y.ak')} AS s FROM artists x JOIN artists y ON true),
 text_pairs AS (
-  SELECT a.pos AS pa, b.pos AS pb, round_even(0.7e0 * t.s + 0.3e0 * r.s, 3) AS similarity, 'text' AS match
+  SELECT a.pos AS pa, b.pos AS pb, {rounded('(t.s * 0.7e0 + r.s * 0.3e0)')} AS similarity, 'text' AS match
   FROM firsts a JOIN title_sims t ON t.p = a.tk JOIN firsts b ON b.tk = t.q AND b.pos > a.pos JOIN artist_sims r ON r.p = a.ak AND r.q = b.ak
-  WHERE 0.7e0 * t.s + 0.3e0 * r.s >= 0.9e0 - 1e-12),
+  WHERE t.s * 0.7e0 + r.s * 0.3e0 >= 0.9e0),
 pairs AS (
   SELECT * FROM text_pairs
   UNION ALL SELECT f.pos, k.pos, 1e0, 'copy' FROM keyed k JOIN firsts f USING (tk, ak) WHERE f.pos <> k.pos
