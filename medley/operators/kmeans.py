@@ -35,11 +35,10 @@ def silhouettes(rows: DataFrame, labels: Sequence[str], n: int) -> dict[str, flo
         if len(left) and len(right):
             theirs = np.stack(right["labels"].to_numpy())
             ids = left["row"].to_numpy()
-            for part, d in distances(left, right):
-                for k in range(theirs.shape[1]):
-                    for c in np.unique(theirs[:, k]):
-                        total = d[:, theirs[:, k] == c].sum(axis=1)
-                        out.append(pd.DataFrame({"row": ids[part], "k": k, "cluster": int(c), "total": total}))
+            d = distances(left, right)
+            for k in range(theirs.shape[1]):
+                for c in np.unique(theirs[:, k]):
+                    out.append(pd.DataFrame({"row": ids, "k": k, "cluster": int(c), "total": d[:, theirs[:, k] == c].sum(axis=1)}))
         return pd.concat(out) if out else pd.DataFrame({"row": [], "k": [], "cluster": [], "total": []})
 
     totals = block_pairs(points, n, sums, "row long, k int, cluster int, total double").groupBy("row", "k", "cluster").agg(

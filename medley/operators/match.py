@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from medley.functions.text import norm_text
+from medley.plans.skew import materialized
 from medley.schema import ID
 
 
@@ -13,34 +14,45 @@ def _words(*texts: str) -> Column:
     return F.array_distinct(F.filter(F.concat(*parts), lambda w: w != ""))
 
 
-def _first_hits(queries: DataFrame, catalogue: DataFrame, key: str, checks: dict[str, str]) -> DataFrame:
-    """First catalogue item (by pos) that holds all words of every checked field.
+def _first_hits(queries: DataFrame, catalogue: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """First catalogue item (by pos) that holds, field by field, all words a query asks for.
 
-    A hit must hold every word of `key`, so each query is joined on its rarest one only.
+    A hit must hold every asked word, so each query is joined on the one that is rarest in its field.
     """
-    index = catalogue.withColumn("_w", F.explode(checks[key]))
+    def tagged(columns: list[str]) -> Column:
+        return F.concat(*[_tag(c, str(i)) for i, c in enumerate(columns)])
+
+    index = catalogue.withColumn("_w", F.explode(tagged(list(fields.values()))))
     freq = index.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    opened = queries.select("query_id", F.explode(key).alias("_w")).join(freq, "_w", "left")
-    rarest = opened.groupBy("query_id").agg(
-        F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_w")
+    opened = queries.select("query", F.explode(tagged(list(fields))).alias("_w")).join(freq, "_w", "left")
+    rarest = (
+        opened.groupBy("query")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_r"))
+        .where("_r.n > 0")
+        .select("query", "_r._w")
     )
     holds = F.lit(True)
-    for asked, held in checks.items():
+    for asked, held in fields.items():
         holds = holds & (F.size(F.array_except(asked, held)) == 0)
     return (
-        queries.join(rarest, "query_id")
+        queries.join(rarest, "query")
         .join(index, "_w")
         .where(holds)
-        .groupBy("query_id")
+        .groupBy("query")
         .agg(F.min(F.struct("pos", ID))[ID].alias(ID))
     )
 
 
+def _tag(words: str, mark: str) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(mark), w))
+
+
 def match_text(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(query_id, spotify_id, matched_by): strict pass per field, then any-field pass, else null.
 
     The strict pass wants every word of each given field in that field of the item; the second pass
     wants every word of title and artist anywhere in the item, for queries the first left open.
+    Equal items and equal queries are looked at once.
     """
     items = catalogue.groupBy("title", "artist", "album").agg(F.min(F.struct("pos", ID)).alias("_first")).select(
         "_first.*",
@@ -49,20 +61,15 @@ def match_text(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
         _words("album").alias("has_album"),
         _words("title", "artist", "album").alias("has_any"),
     )
-    asked = queries.select(
-        "query_id",
-        _words("title").alias("title_words"),
-        _words("artist").alias("artist_words"),
-        _words("album").alias("album_words"),
-        _words("title", "artist").alias("loose_words"),
+    fields = [F.array_sort(_words(c)).alias(f"{c}_words") for c in ("title", "artist", "album")]
+    asked = queries.select("query_id", F.struct(*fields).alias("query"))
+    kinds = materialized(asked.select("query").distinct().where(F.size("query.title_words") > 0)).select(
+        "query", "query.*", F.array_distinct(F.concat("query.title_words", "query.artist_words")).alias("loose_words")
     )
-    strict = _first_hits(
-        asked,
-        items,
-        "title_words",
-        {"title_words": "has_title", "artist_words": "has_artist", "album_words": "has_album"},
+    strict = materialized(
+        _first_hits(kinds, items, {"title_words": "has_title", "artist_words": "has_artist", "album_words": "has_album"})
     )
-    rest = asked.join(strict, "query_id", "left_anti")
-    loose = _first_hits(rest, items, "loose_words", {"loose_words": "has_any"})
+    rest = kinds.join(strict.select("query"), "query", "left_anti")
+    loose = _first_hits(rest, items, {"loose_words": "has_any"})
     hits = strict.withColumn("matched_by", F.lit("fields")).unionByName(loose.withColumn("matched_by", F.lit("words")))
-    return queries.select("query_id").join(hits, "query_id", "left")
+    return asked.join(hits, "query", "left").select("query_id", ID, "matched_by")
