@@ -46,7 +46,7 @@ def silhouettes(rows: DataFrame, labels: Sequence[str], n: int) -> dict[str, flo
     )
     placed = points.select("row", F.posexplode("labels").alias("k", "own"))
     sizes = placed.groupBy("k", F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    mean = totals.join(placed, ["row", "k"]).join(F.broadcast(sizes), ["k", "cluster"])  # at most 11 * 12 rows
+    mean = totals.join(placed, ["row", "k"]).join(sizes, ["k", "cluster"])
     per_row = mean.groupBy("row", "k").agg(
         F.max(F.expr("if(cluster = own, size, null)")).alias("own_size"),
         F.max(F.expr("if(cluster = own, total / nullif(size - 1, 0), null)")).alias("a"),
