@@ -1,4 +1,8 @@
-"""DuckDB SQL for the registered queries, on the given tables."""
+"""DuckDB SQL for the registered queries, on the given tables.
+
+Doubles are compared at 6 digits. They are rounded to 12 digits first, on both sides, as the order in
+which an engine adds up numbers would otherwise decide values that lie halfway between two results.
+"""
 
 from __future__ import annotations
 
@@ -78,7 +82,7 @@ scored AS (SELECT *, max(d) OVER (PARTITION BY {scope}) AS far, min(d) OVER (PAR
 """
 
 
-SCORE = "round(CASE WHEN n < 3 OR far - near < 1e-12 THEN 0e0 ELSE (d - near) / (far - near) END, 6) + 0e0"
+SCORE = "round(round(CASE WHEN n < 3 OR far - near < 1e-12 THEN 0e0 ELSE (d - near) / (far - near) END, 12), 6) + 0e0"
 MEMBERS = "rows_ AS (SELECT supply.m_idx, supply.group_id, supply.group_name, items.* FROM supply JOIN items USING (pos))"
 
 
@@ -127,21 +131,21 @@ SQL["D1_genre_onehot"] = f"""
 WITH {ITEMS} SELECT spotify_id, 'genre:' || unnest(list_distinct(genres)) AS feature, 1.5e0 AS value FROM items
 """
 _FILLED = ", ".join(
-    f"round(coalesce(CAST({c} AS DOUBLE), avg({c}) OVER (PARTITION BY group_id)), 6) + 0e0 AS {c}" for c in NUMERIC
+    f"round(round(coalesce(CAST({c} AS DOUBLE), avg({c}) OVER (PARTITION BY group_id)), 12), 6) + 0e0 AS {c}" for c in NUMERIC
 )
 SQL["D2_impute_mean"] = f"""
 WITH {ITEMS}, {SUPPLY}, {MEMBERS}
 SELECT group_id, spotify_id, {_FILLED}, CAST(NULL AS DOUBLE) AS valence FROM rows_
 """
 SQL["D3_range_normalize"] = f"""
-WITH {ITEMS} SELECT spotify_id, {", ".join(f"round({clip(c, c)}, 6) + 0e0 AS {c}" for c in AUDIO)} FROM items
+WITH {ITEMS} SELECT spotify_id, {", ".join(f"round(round({clip(c, c)}, 12), 6) + 0e0 AS {c}" for c in AUDIO)} FROM items
 """
 
 
 def long_form(fields: tuple[str, ...], weights: dict[str, float], more: str = "") -> str:
     return " UNION ALL ".join(
         f"SELECT {more} spotify_id, '{'year' if c == 'year' else 'audio:' + c}' AS feature, "
-        f"round({c}_z * {weights[c]}e0, 6) + 0e0 AS value FROM z WHERE {c}_z IS NOT NULL"
+        f"round(round({c}_z * {weights[c]}e0, 12), 6) + 0e0 AS value FROM z WHERE {c}_z IS NOT NULL"
         for c in fields
     )
 
@@ -262,9 +266,9 @@ WITH {ENRICHED} SELECT spotify_id, array_to_string(genres, '|') AS genres, genre
 SQL["C1_enrich_features"] = f"""
 WITH {ENRICHED}
 SELECT spotify_id, CASE WHEN hit THEN 'reccobeats' ELSE 'unmatched' END AS feature_source,
-       round(CASE WHEN hit THEN coalesce(nullif((price - 900e0) * 2e0, 0e0), tempo) END, 6) + 0e0 AS tempo,
-       round(CASE WHEN hit THEN p_size / 100e0 END, 6) + 0e0 AS energy,
-       round(CASE WHEN hit THEN loudness END, 6) + 0e0 AS loudness, CAST(NULL AS DOUBLE) AS danceability,
+       round(round(CASE WHEN hit THEN coalesce(nullif((price - 900e0) * 2e0, 0e0), tempo) END, 12), 6) + 0e0 AS tempo,
+       round(round(CASE WHEN hit THEN p_size / 100e0 END, 12), 6) + 0e0 AS energy,
+       round(round(CASE WHEN hit THEN loudness END, 12), 6) + 0e0 AS loudness, CAST(NULL AS DOUBLE) AS danceability,
        CASE WHEN NOT hit THEN 0e0 WHEN p_size > 40 THEN 0.5e0 ELSE 1e0 END AS feature_match_confidence
 FROM with_features
 """
@@ -422,7 +426,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Cus
        'Customer ' || o_custkey || '|Status ' || o_orderstatus || '|' || substr(o_orderpriority, 3, 20) AS playlist_names, '' AS genres
 FROM orders
 """
-SQL["A2_read_json"] = SQL["A3_read_delimited"] = _ORDER_ROWS.format(energy="round(CAST(trunc(o_totalprice) AS BIGINT) / 3e0, 6) + 0e0")
+SQL["A2_read_json"] = SQL["A3_read_delimited"] = _ORDER_ROWS.format(energy="round(round(CAST(trunc(o_totalprice) AS BIGINT) / 3e0, 12), 6) + 0e0")
 SQL["A4_write_json"] = "SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, 'Customer ' || o_custkey AS artist FROM orders"
 SQL["A5_write_delimited"] = r"""
 SELECT CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderpriority || chr(9) || 'Customer ' || o_custkey || chr(9) || o_orderstatus || chr(9)
@@ -465,7 +469,7 @@ SQL["G4_token_sort_similarity"] = f"""
 WITH t AS (SELECT p_partkey, {token_sorted("p_name || ' ' || p_type")} AS a, {token_sorted("upper(p_type || '  ' || p_brand || '  ' || p_name)")} AS b,
                   {token_sorted('p_name')} AS c, {token_sorted('p_brand')} AS d FROM part),
 k AS (SELECT DISTINCT a, b, c, d FROM t), s AS (SELECT *, {similarity('a', 'b')} AS x, {similarity('c', 'd')} AS y FROM k)
-SELECT p_partkey, round(x, 6) + 0e0 AS whole, round(y, 6) + 0e0 AS name FROM t JOIN s USING (a, b, c, d)
+SELECT p_partkey, round(round(x, 12), 6) + 0e0 AS whole, round(round(y, 12), 6) + 0e0 AS name FROM t JOIN s USING (a, b, c, d)
 """
 SQL["G1_same_code"] = f"""
 WITH {ITEMS}, led AS (SELECT *, first_value(spotify_id) OVER (PARTITION BY isrc ORDER BY pos) AS leader FROM items WHERE isrc IS NOT NULL)
@@ -515,7 +519,7 @@ sums AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(array_distance(a.v,
          FROM e a JOIN e b ON true GROUP BY ALL),
 ab AS (SELECT vec_id, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN total / nullif(n - 1, 0) END) AS a,
               min(CASE WHEN c <> own THEN total / n END) AS b FROM sums GROUP BY ALL)
-SELECT 'label' AS labelling, round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END), 6) + 0e0 AS silhouette
+SELECT 'label' AS labelling, round(round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END), 12), 6) + 0e0 AS silhouette
 FROM ab
 """
 SQL["E5_cluster_command"] = """

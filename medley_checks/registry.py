@@ -25,8 +25,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """Round doubles for comparison, with -0.0 written as 0.0."""
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
+    """Round doubles for comparison, first to 12 digits against summation noise; -0.0 is written as 0.0."""
+    return df.withColumns({c: F.round(F.round(c, 12), digits) + F.lit(0.0) for c in names})
 
 
 def joined(df: DataFrame, *names: str) -> DataFrame:
