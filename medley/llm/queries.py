@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medley.llm import bpe, quality, sharding, wavelet
+from medley.llm import bpe, minhash, quality, sharding, suffixes, wavelet
 from medley.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,21 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored(documents(spark, sf_dir), vocabulary(), end_token=2)
 
 
+@query
+def op3_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 @query
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+@query
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(documents(spark, sf_dir))
+
+
 @query
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), with_text=False)
