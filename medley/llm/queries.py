@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from medley.llm import bpe, minhash, quality, sharding, suffixes, wavelet
+from medley.llm import bpe, minhash, mixing, ngrams, personal, quality, quantised, sharding, suffixes, wavelet
 from medley.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Domain weights of the mix: the first keeps its words, the others are thinned out.
+MIX = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) from the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", domain.alias("domain")).where("domain is not null")
+
+
 @query
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), shards=16)
@@ -40,6 +50,27 @@ def op3_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+@query
+def op4_quantised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
+@query
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.scored(documents(spark, sf_dir))
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_score")})
+
+
+@query
+def op6_crf_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(documents(spark, sf_dir))
+
+
+@query
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), domain_labels(spark, sf_dir), MIX).drop("u")
+
+
 @query
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary())

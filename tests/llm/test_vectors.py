@@ -1,0 +1,82 @@
+"""Near vectors against all pairs."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from medley.llm import quantised
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, threshold):
+    unit = {}
+    for at, (_, e) in enumerate(rows):
+        if e is None or len(e) != 16 or None in e or not np.isfinite(np.array(e, np.float64)).all() or not np.any(e):
+            continue
+        x = np.array(e, np.float32).astype(np.float64)
+        unit[at] = x / np.sqrt((x * x).sum())
+    key = lambda i: -(2**63) if i is None else i
+    links = {at: [o for o in unit if o != at and unit[at] @ unit[o] >= threshold] for at in unit}
+    root = {key(i): key(i) for i, _ in rows}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, others in links.items():
+        for b in others:
+            x, y = find(key(rows[a][0])), find(key(rows[b][0]))
+            root[max(x, y)] = min(x, y)
+    out = []
+    for at, (i, _) in enumerate(rows):
+        r = find(key(i))
+        out.append((i, len(links.get(at, [])), None if r == -(2**63) else r, r == key(i)))
+    return sorted(out, key=str)
+
+
+def made(seed, n=300):
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        base = rows[r.integers(0, len(rows))][1] if rows and r.random() < 0.5 else r.normal(size=16).tolist()
+        rows.append((i, (np.array(base) + r.normal(size=16) * r.choice([0.0, 0.05, 0.15])).astype(np.float32).tolist()))
+    rows += [(n, None), (n + 1, [0.0] * 16), (n + 2, []), (n + 3, [float("nan")] * 16), (n + 4, [None] * 16), (n + 5, [1.0] * 3), (n + 6, [float("inf")] * 16)]
+    rows += [(n + 7, [x * 4 for x in rows[0][1]]), (5, rows[9][1]), (None, rows[3][1]), (None, rows[3][1]), (n + 8, [1e-30] * 16), (n + 9, [1e30] * 16)]
+    return rows
+
+
+def frame(spark, docs, rows):
+    docs([])
+    return spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA).repartition(3)
+
+
+def got(df):
+    return sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 7)])
+def test_equal_to_all_pairs_with_full_slack(spark, docs, seed, block):
+    """With slack at the distance of the threshold no pair can be missed."""
+    rows = made(seed)
+    assert got(quantised.near_vectors(frame(spark, docs, rows), 0.95, slack=0.32, block=block)) == plain(rows, 0.95)
+
+
+def test_recall_with_default_slack(spark, docs):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array(t["embedding"].to_pylist(), np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in quantised.near_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), 0.95).collect()}
+    have = np.array([found[i] for i in t["vec_id"].to_pylist()])
+    assert (have <= want).all() and have.sum() >= 0.98 * want.sum()
+
+
+def test_empty_and_unusable(spark, docs):
+    assert quantised.near_vectors(frame(spark, docs, [])).count() == 0
+    rows = [(1, None), (2, []), (3, [0.0] * 16)]
+    assert got(quantised.near_vectors(frame(spark, docs, rows))) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
