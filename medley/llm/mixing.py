@@ -36,8 +36,8 @@ from medley.llm.common import written
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
-SHRINK = 10.0
-LEAST = 0.4
+SHRINK = 2.0
+LEAST = 1.0
 ROUNDS = 60
 ROUNDS_WRITTEN = 15
 TOLERANCE = 1e-4

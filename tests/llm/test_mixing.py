@@ -95,7 +95,7 @@ def test_rates_equal_plain_descent(spark, docs):
 def test_posteriors_on_held_out_documents(spark, docs):
     from medley.llm.queries import domain_labels
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs([])
     labels = domain_labels(spark, sf)
     half = labels.where("doc_id % 2 = 0")
