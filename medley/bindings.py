@@ -218,7 +218,7 @@ def line_library(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     """
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
     parts = part_items(spark, sf_dir).drop("pos")
-    numbered = running_number(lines, ["l_orderkey"], "_n", PAGE_ORDER[1:], [F.col("l_linenumber")]).withColumn(
+    numbered = running_number(lines, ["l_orderkey"], "_n", PAGE_ORDER[1:]).withColumn(
         "pos", F.shiftleft("l_orderkey", 15) + F.col("_n")
     )
     rows = numbered.join(parts, F.col("l_partkey").cast("string") == F.col(ID))

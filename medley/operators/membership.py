@@ -129,6 +129,6 @@ def implode_memberships(members: DataFrame, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def number_memberships(members: DataFrame, order: Sequence[str], bucket: Sequence[Column]) -> DataFrame:
+def number_memberships(members: DataFrame, order: Sequence[str]) -> DataFrame:
     """Give every membership row its 0-based place inside its item."""
-    return running_number(members, [ID], "m_idx", order, bucket).withColumn("m_idx", F.col("m_idx") - 1)
+    return running_number(members, [ID], "m_idx", order).withColumn("m_idx", F.col("m_idx") - 1)

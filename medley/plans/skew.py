@@ -7,47 +7,80 @@ over several tasks by itself. Aggregates combine map-side. What is left is ranki
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-# Rows of one numbering bucket: `pos` is unique, so a bucket never holds more than 2**20 rows.
-BUCKET_BITS = 20
-
-
-def running_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    out: str,
-    order: Sequence[str] = ("pos",),
-    bucket: Sequence[Column] | None = None,
-) -> DataFrame:
-    """1-based position of every row inside its key, without bringing a whole key to one task.
-
-    Rows are numbered inside (key, bucket) and shifted by the row count of the earlier buckets of
-    the key. `bucket` must be a prefix of the order, coarser than it; the default cuts a unique
-    LONG order column into ranges of 2**20 positions.
-    """
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+
+def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: list | None) -> np.ndarray:
+    """Where a row's key differs from that of the row before; `last` is the key before the batch."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = last is None or [batch.column(k)[0].as_py() for k in keys] != last
+    for k in keys:
+        c = batch.column(k)
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        out[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def numbered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows sorted into range partitions by (key, order) and written: with the partition `_part` and, counted
+    from 1 inside (partition, key), `_in`."""
     keys = list(keys)
-    cells = list(bucket) if bucket is not None else [F.shiftright(F.col(order[0]), BUCKET_BITS)]
-    names = [f"_cell{i}" for i in range(len(cells))]
-    rows = df.withColumns(dict(zip(names, cells)))
-    counts = rows.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[F.col(c).alias(f"_k{c}") for c in names],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}" if c in keys else f"_k{c}")) for c in [*keys, *names]]
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, on, "inner")
-        .withColumn(out, F.col("_rn") + F.col("_offset"))
-        .drop("_rn", "_offset", *names, *[f"_k_{k}" for k in keys], *[f"_k{c}" for c in names])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_in", T.LongType())])
+
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, n = None, 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(_changes(batch, keys, last)) if keys else np.zeros(0, np.int64)
+            at = np.arange(1, batch.num_rows + 1)
+            start = np.full(batch.num_rows, -n)  # rows before the batch under the same key count on
+            start[new] = new
+            inside = at - (np.maximum.accumulate(np.where(start >= 0, start, 0)) if len(new) else start)
+            if len(new) and new[0]:
+                inside[: new[0]] = at[: new[0]] + n
+            last, n = [batch.column(k)[-1].as_py() for k in keys], int(inside[-1])
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(inside.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_in"])
+
+    return materialized(ranged.mapInArrow(number, schema))
+
+
+def running_number(df: DataFrame, keys: Sequence[str], out: str, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """1-based position of every row inside its key (of all rows without keys), in the given order.
+
+    Rows are range-partitioned by (key, order), so a hot key is cut over as many partitions as its
+    rows fill; the sorted rows are numbered partition by partition and written. Only the first key of
+    a partition can have rows in earlier ones: its offset comes from one row per partition. The order
+    must be total inside a key, else equal rows are numbered in any order.
+    """
+    fixed = numbered_parts(df, keys, order)
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    ends = fixed.groupBy("_part").agg(F.min(key).alias("_first"), F.max(F.struct(key.alias("key"), "_in")).alias("_last"))
+    ends = ends.select("_part", "_first", F.col("_last.key").alias("_key"), F.col("_last._in").alias("_n"))
+    chain = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order_ = Window.orderBy("_part")
+    before = ends.withColumn("_sum", F.sum("_n").over(chain)).select(
+        F.col("_part").alias("_p"), "_first", F.lag("_key").over(order_).alias("_k"), F.lag("_sum").over(order_).alias("_offset")
     )
+    offsets = F.broadcast(before.where(F.col("_k").eqNullSafe(F.col("_first"))).drop("_k"))
+    shift = F.when(key.eqNullSafe(F.col("_first")), F.col("_offset")).otherwise(F.lit(0))
+    met = fixed.join(offsets, F.col("_part") == F.col("_p"), "left")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (F.col("_in") + F.coalesce(shift, F.lit(0))).alias(out))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -66,22 +99,35 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in spark.checkpoint.dir."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Only on a local master a missing one is made, and removed when the program ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/medley-shared"
+        folder = tempfile.mkdtemp(prefix="medley-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def temporary_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder that is deleted when Spark ends."""
+    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}{suffix}"
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read to the shared folder and read it back.
 
     Cuts the lineage, keeps column pruning and real sizes for the planner, and survives the loss of
-    any executor.
+    any executor. The folder is deleted when Spark ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/medley-{uuid.uuid4().hex}"
+    path = temporary_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,20 +72,17 @@ def normalize_tracks(pages: DataFrame, order: Sequence[str]) -> DataFrame:
 ATTRIBUTES = ("title", "artist", "album", "isrc", "year", "duration_ms", "added_at")
 
 
-def collect_library(
-    rows: DataFrame, order: Sequence[str], bucket: Sequence[Column]
-) -> tuple[DataFrame, DataFrame]:
+def collect_library(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """One row per item with the attributes of its first occurrence, and all its memberships in order.
 
     Memberships stay one row each (spotify_id, m_idx, group_id, group_name), as an item may be in any
-    number of groups; implode_memberships turns them into list columns. `bucket` is a coarser prefix
-    of `order` (see running_number).
+    number of groups; implode_memberships turns them into list columns.
     """
     at = F.struct(*order)
     items = rows.groupBy(ID).agg(
         F.min(at).alias("first_at"), F.min_by(F.struct(*ATTRIBUTES), at).alias("_a")
     )
-    members = number_memberships(rows.select(ID, *order, "group_id", "group_name"), order, bucket)
+    members = number_memberships(rows.select(ID, *order, "group_id", "group_name"), order)
     return (
         items.select(ID, "first_at", "_a.*"),
         members.select(ID, "m_idx", "group_id", "group_name"),

@@ -316,7 +316,7 @@ def merged(files: str, main: int) -> str:
     return f"""
 WITH {libraries(files)},
 heads AS (SELECT spotify_id, occ, min(file) FILTER (WHERE file < {main}) AS f, {first} FROM lib GROUP BY 1, 2),
-placed AS (SELECT heads.*, (CAST(f AS BIGINT) << 55) + lib.pos AS pos FROM heads JOIN lib ON heads.f = lib.file
+placed AS (SELECT heads.*, row_number() OVER (ORDER BY f, lib.pos) AS pos FROM heads JOIN lib ON heads.f = lib.file
        AND heads.spotify_id = lib.spotify_id AND heads.occ = lib.occ),
 names AS (SELECT spotify_id, occ, gid, min(file) AS file, arg_min(gname, file) AS gname FROM lib WHERE file < {main} GROUP BY 1, 2, 3),
 groups_ AS (SELECT spotify_id, occ, string_agg(gid, '|' ORDER BY file) AS ids, string_agg(gname, '|' ORDER BY file) AS names FROM names GROUP BY 1, 2),
@@ -330,7 +330,7 @@ FROM placed JOIN groups_ USING (spotify_id, occ) JOIN genre USING (spotify_id, o
 
 SQL["C8_merge_libraries"] = merged("ANR", 3)
 SQL["C9_merge_metadata_only"] = merged("ANR", 1)
-SQL["C10_merge_row"] = merged("RA", 2)
+SQL["C10_merge_row"] = merged("RAN", 2)
 SQL["C11_ordered_union"] = f"""
 WITH {ITEMS} SELECT spotify_id, array_to_string(genres || list_filter([lower(album), artist], lambda g: NOT list_contains(genres, g)), '|') AS genres
 FROM items

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +11,7 @@ from medley.functions import arrays, text
 from medley.operators import density, duplicates, enrich, export, features, kmeans, match, membership, merge, outliers, overlaps, reports
 from medley.operators.features import Weights
 from medley.plans import commands
-from medley.plans.skew import materialized, shared_folder
+from medley.plans.skew import materialized, temporary_path
 from medley.schema import AUDIO_FIELDS, ID
 from medley.sources import lookups, services, tracks
 
@@ -236,7 +235,7 @@ def C9_merge_metadata_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def C10_merge_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, "RA")
+    return _merged(spark, sf_dir, "RA", "N")
 
 
 @query
@@ -281,7 +280,7 @@ def A8_normalize_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = services.normalize_tracks(B.item_pages(spark, sf_dir), B.PAGE_ORDER)
-    return services.collect_library(rows, B.PAGE_ORDER, [F.shiftright("l_orderkey", 4)])
+    return services.collect_library(rows, B.PAGE_ORDER)
 
 
 @query
@@ -349,7 +348,7 @@ def A14_outlier_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     """Write the order items in a format to the shared folder and read them back."""
-    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.{fmt}"
+    path = temporary_path(spark, f".{fmt}")
     items = B.order_items(spark, sf_dir).withColumn("energy", F.col("duration_ms") / F.lit(3e0))
     tracks.write_tracks(items, path)
     back = tracks.read_tracks(spark, path)
@@ -371,7 +370,7 @@ def A3_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def A4_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.json"
+    path = temporary_path(spark, ".json")
     tracks.write_tracks(B.order_items(spark, sf_dir), path)
     lines = spark.read.text(path)
     return lines.select(F.get_json_object("value", "$.spotify_id").alias(ID), F.get_json_object("value", "$.artist").alias("artist"))
@@ -379,15 +378,14 @@ def A4_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def A5_write_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}.tsv"
+    path = temporary_path(spark, ".tsv")
     tracks.write_tracks(B.order_items(spark, sf_dir).withColumn("tempo", F.col("duration_ms") / F.lit(4e0)), path)
     return spark.read.text(path).where(~F.startswith("value", F.lit("spotify_id"))).select(F.col("value").alias("line"))
 
 
 @query
 def A6_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
-    first, second = (f"{folder}/medley-{uuid.uuid4().hex}.{fmt}" for fmt in ("parquet", "tab"))
+    first, second = temporary_path(spark, ".parquet"), temporary_path(spark, ".tab")
     tracks.write_tracks(B.order_items(spark, sf_dir), first)
     tracks.convert(spark, first, second)
     return joined(tracks.read_tracks(spark, second).select(ID, "title", "artist", "playlist_ids"), "playlist_ids")
@@ -437,7 +435,7 @@ def G6_dedupe_command(spark: SparkSession, sf_dir: str) -> DataFrame:
 def A13_dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = duplicates.same_code(duplicates.duplicate_keys(B.part_items(spark, sf_dir)))
     overlap = overlaps.find_group_overlaps(B.word_members(spark, sf_dir), threshold=0.9)
-    return reports.write_dedupe_report(same, overlap, f"{shared_folder(spark)}/medley-{uuid.uuid4().hex}")
+    return reports.write_dedupe_report(same, overlap, temporary_path(spark))
 
 
 # --- clusters ---

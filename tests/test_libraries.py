@@ -14,7 +14,7 @@ from medley.operators.features import Weights
 from medley.operators.match import match_text
 from medley.operators.merge import merge_libraries
 from medley.plans import commands
-from medley.plans.skew import running_number, top_per_group
+from medley.plans.skew import numbered_parts, running_number, top_per_group
 from medley.schema import MissingFeaturesError
 
 
@@ -262,6 +262,27 @@ def test_running_number_over_many_buckets(spark):
         assert numbers == list(range(1, len(numbers) + 1))
 
 
+def test_running_number_spreads_a_hot_key(spark):
+    """One key owns 60 % of the rows at sparse places: its rows fill several partitions, none more than its share."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        rows = spark.range(0, 20_000, 1, 4).select(
+            F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 977)).alias("k"),
+            (F.pmod(F.xxhash64("id"), F.lit(2**55))).alias("pos"),
+        )
+        sizes = [r["count"] for r in numbered_parts(rows, ["k"], ["pos"]).groupBy("_part").count().collect()]
+        assert len(sizes) == 10 and max(sizes) <= 2 * 20_000 / 10
+        got = running_number(rows, ["k"], "n").collect()
+        for key in ("hot", "k3"):
+            numbers = [r.n for r in sorted(got, key=lambda r: r.pos) if r.k == key]
+            assert numbers == list(range(1, len(numbers) + 1))
+        every = running_number(rows.where("k = 'hot'"), [], "n").collect()
+        assert [r.n for r in sorted(every, key=lambda r: r.pos)] == list(range(1, 12_001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_running_number_with_null_keys(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "k string, pos long")
     assert sorted((r.k or "", r.pos, r.n) for r in running_number(df, ["k"], "n").collect()) == [("", 1, 1), ("", 3, 2), ("a", 2, 1)]
