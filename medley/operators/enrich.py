@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from medley.operators.membership import is_selected
 from medley.schema import AUDIO_FIELDS, ID
-from medley.sources.lookups import FEATURE_SERVICE, GENRE_SERVICE, feature_key, lookup_key
+from medley.sources.lookups import FEATURE_SERVICE, GENRE_SERVICE, feature_key, lookup_key, newest_answers
 
 LEVELS = ("top", "best", "clean", "all")
 # Provenance texts.
@@ -20,10 +20,10 @@ def enrich_features(
 ) -> DataFrame:
     """Overwrite the audio fields from the first record of the answer's `content`.
 
-    A value that is absent (or 0, unless zero_is_missing is off) keeps the old one. Without an answer
+    Of several stored versions of an answer the newest counts. A value that is absent (or 0, unless zero_is_missing is off) keeps the old one. Without an answer
     all nine fields become null. Rows outside the selected playlists stay as they are.
     """
-    found = answers.select(
+    found = newest_answers(answers).select(
         F.col("key").alias("_key"),
         F.from_json("payload", "struct<content: array<map<string, string>>>")["content"].alias("_content"),
     )
@@ -120,11 +120,11 @@ def enrich_genres(
 ) -> DataFrame:
     """Set genres, source and confidence from the answer for (artist, album), else for the artist alone.
 
-    Always overwrites, so stale genres are cleared. The second lookup is joined only for rows the
+    Of several stored versions of an answer the newest counts. Always overwrites, so stale genres are cleared. The second lookup is joined only for rows the
     first left unmatched; the others get a key of their own that no answer has, which spreads them
     evenly over the tasks.
     """
-    picks = extract_genres(answers, level).select(
+    picks = extract_genres(newest_answers(answers), level).select(
         F.col("key").alias("_key"), F.when(F.col("source").isNotNull(), F.struct("source", "confidence", "genres")).alias("_pick")
     )
     artist, album = F.col("artist"), F.col("album")

@@ -4,62 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from medley.operators.features import Weights, features_vector
 from medley.operators.membership import filter_membership
-from medley.plans.blocks import block_pairs, distances
 from medley.plans.skew import materialized
 
 # Candidate numbers of clusters and the seed.
 K_MIN, K_MAX, SEED = 2, 12, 42
-# The Euclidean silhouette needs all pairs of rows; above this size the squared one, which is linear, stands in.
-EXACT_ROWS = 10_000
 
 
-def silhouettes(rows: DataFrame, labels: Sequence[str], n: int) -> dict[str, float | None]:
-    """Mean Euclidean silhouette of every labelling; None for one with fewer than two clusters.
+def silhouettes(rows: DataFrame, labels: Sequence[str]) -> dict[str, float | None]:
+    """Mean squared-Euclidean silhouette of every labelling; None for one with fewer than two clusters.
 
-    `rows` has `row`, `features` and the label columns. Distance sums per (row, labelling, cluster)
-    are built block by block, so all labellings share one pass over the pairs.
+    Mean squared distances to a cluster follow from its count, vector sum and squared norms, so the time is
+    linear in the rows; the Euclidean form needs all pairs and is not offered at any size.
     """
-    points = rows.select("row", vector_to_array("features").alias("vector"), F.array(*labels).cast("array<int>").alias("labels"))
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            theirs = np.stack(right["labels"].to_numpy())
-            ids = left["row"].to_numpy()
-            d = distances(left, right)
-            for k in range(theirs.shape[1]):
-                for c in np.unique(theirs[:, k]):
-                    out.append(pd.DataFrame({"row": ids, "k": k, "cluster": int(c), "total": d[:, theirs[:, k] == c].sum(axis=1)}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "k": [], "cluster": [], "total": []})
-
-    totals = block_pairs(points, n, sums, "row long, k int, cluster int, total double").groupBy("row", "k", "cluster").agg(
-        F.sum("total").alias("total")
-    )
-    placed = points.select("row", F.posexplode("labels").alias("k", "own"))
-    sizes = placed.groupBy("k", F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    mean = totals.join(placed, ["row", "k"]).join(sizes, ["k", "cluster"])
-    per_row = mean.groupBy("row", "k").agg(
-        F.max(F.expr("if(cluster = own, size, null)")).alias("own_size"),
-        F.max(F.expr("if(cluster = own, total / nullif(size - 1, 0), null)")).alias("a"),
-        F.min(F.expr("if(cluster <> own, total / size, null)")).alias("b"),
-    )
-    score = F.expr("if(own_size = 1 or greatest(a, b) = 0, 0D, (b - a) / greatest(a, b))")
-    found = per_row.where("b is not null").groupBy("k").agg(F.avg(score).alias("s")).collect()  # one row per labelling
-    by_k = {r.k: r.s for r in found}
-    return {label: by_k.get(i) for i, label in enumerate(labels)}
-
-
-def squared_silhouettes(rows: DataFrame, labels: Sequence[str]) -> dict[str, float | None]:
-    """Mean squared-Euclidean silhouette of every labelling, in time linear in the rows."""
     out: dict[str, float | None] = {}
     for label in labels:
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol=label, metricName="silhouette")
@@ -72,37 +34,37 @@ def _fit(vectors: DataFrame, k: int, out: str):
     return KMeans(featuresCol="features", predictionCol=out, k=k, seed=SEED).fit(vectors)
 
 
-def choose_k(
-    vectors: DataFrame, k_min: int = K_MIN, k_max: int = K_MAX, exact_rows: int = EXACT_ROWS
-) -> tuple[int, dict[int, float]]:
-    """Number of clusters with the best silhouette, ties to the smaller, and the scores.
-
-    `vectors` has `row` and `features`. Up to `exact_rows` rows the score is the Euclidean
-    silhouette; beyond, the squared-Euclidean one, which may prefer another k.
-    """
-    n = vectors.count()
-    k_max = min(k_max, n - 1)
-    if k_max < k_min:
-        return max(1, n), {}
+def labelings(vectors: DataFrame, k_min: int, k_max: int) -> tuple[DataFrame, dict[int, float]]:
+    """`vectors` (row, features, …) with a column `k<n>` for every number of clusters, and their silhouettes."""
     labelled = vectors
     for k in range(k_min, k_max + 1):
         labelled = _fit(vectors, k, f"k{k}").transform(labelled)
-    labels = [f"k{k}" for k in range(k_min, k_max + 1)]
     labelled = materialized(labelled)
-    scores = silhouettes(labelled, labels, n) if n <= exact_rows else squared_silhouettes(labelled, labels)
-    best_k, best = k_min, -1.0
-    for k in range(k_min, k_max + 1):
-        score = scores[f"k{k}"]
-        if score is not None and score > best:
-            best_k, best = k, score
-    return best_k, {k: scores[f"k{k}"] for k in range(k_min, k_max + 1) if scores[f"k{k}"] is not None}
+    scores = silhouettes(labelled, [f"k{k}" for k in range(k_min, k_max + 1)])
+    return labelled, {int(name[1:]): s for name, s in scores.items() if s is not None}
+
+
+def _best(scores: dict[int, float], default: int) -> int:
+    """The number of clusters with the highest score above -1, ties to the smaller."""
+    return min((k for k in scores if scores[k] > -1), key=lambda k: (-scores[k], k), default=default)
+
+
+def choose_k(vectors: DataFrame, k_min: int = K_MIN, k_max: int = K_MAX) -> tuple[int, dict[int, float]]:
+    """Number of clusters with the best squared-Euclidean silhouette, and the scores."""
+    n = vectors.count()
+    if n <= k_min:
+        return max(1, n), {}
+    scores = labelings(vectors, k_min, min(k_max, n - 1))[1]
+    return _best(scores, k_min), scores
 
 
 def cluster_vectors(vectors: DataFrame, k: int | str = "auto") -> DataFrame:
     """`vectors` (row, features, …) with `cluster_id`; k is clamped to 1..rows."""
     n = vectors.count()
-    wanted = choose_k(vectors)[0] if k == "auto" else int(k)
-    wanted = max(1, min(wanted, n))
+    if k == "auto" and n > K_MIN:
+        labelled, scores = labelings(vectors, K_MIN, min(K_MAX, n - 1))
+        return labelled.select(*vectors.columns, F.col(f"k{_best(scores, K_MIN)}").alias("cluster_id"))
+    wanted = max(1, min(n if k == "auto" else int(k), n))
     if wanted == 1:
         return vectors.withColumn("cluster_id", F.lit(0))
     return _fit(vectors, wanted, "cluster_id").transform(vectors)
@@ -122,22 +84,13 @@ def cluster_items(
     weights: Weights = Weights(),
     playlists: Sequence[str] | None = None,
     min_cluster_size: int = 5,
-    keep_unselected: bool = False,
 ) -> DataFrame:
-    """Cluster the rows of the selected playlists by either algorithm.
-
-    The result holds only those rows; `keep_unselected` adds the others with cluster_id null.
-    """
+    """Cluster the rows of the selected playlists, and only those, by either algorithm."""
     from medley.operators.density import cluster_density
 
     if algorithm not in ("kmeans", "hdbscan"):
         raise ValueError(f"Unsupported algorithm '{algorithm}'. Expected one of: kmeans, hdbscan.")
     chosen = filter_membership(tracks, playlists)
     if algorithm == "kmeans":
-        out = cluster_kmeans(chosen, k, weights)
-    else:
-        out = cluster_density(chosen, weights, min_cluster_size)
-    if keep_unselected and playlists:
-        rest = tracks.join(chosen.select("pos"), "pos", "left_anti").withColumn("cluster_id", F.lit(None).cast("int"))
-        out = out.unionByName(rest, allowMissingColumns=True)
-    return out
+        return cluster_kmeans(chosen, k, weights)
+    return cluster_density(chosen, weights, min_cluster_size)

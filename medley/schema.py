@@ -72,9 +72,6 @@ _RAW_ITEM = _struct(
 )
 RAW_PAGE_SCHEMA = _struct(items=T.ArrayType(_struct(added_at=_TEXT, item=_RAW_ITEM)))
 
-# Answers of the feature service.
-FEATURE_RESPONSE_SCHEMA = _struct(content=T.ArrayType(_struct(**_AUDIO)))
-
 
 class MissingFeaturesError(ValueError):
     """Raised when no genre, audio or year column holds a value to cluster on."""

@@ -37,6 +37,13 @@ def _empty(payload: Column) -> Column:
     return payload.isNull() | F.trim(payload).isin("{}", "null", "[]")
 
 
+def newest_answers(answers: DataFrame) -> DataFrame:
+    """One row per key: the answer with the highest version. Frames without versions hold one already."""
+    if "version" not in answers.columns:
+        return answers
+    return answers.groupBy("key").agg(F.max_by("payload", "version").alias("payload"))
+
+
 def pending_lookups(
     wanted: DataFrame, stored: DataFrame, recheck: bool = False, force: bool = False, exhausted: bool = False
 ) -> DataFrame:

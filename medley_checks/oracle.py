@@ -490,10 +490,11 @@ text_pairs AS (
   SELECT a.pos AS pa, b.pos AS pb, {rounded('(t.s * 0.7e0 + r.s * 0.3e0)')} AS similarity, 'text' AS match
   FROM firsts a JOIN title_sims t ON t.p = a.tk JOIN firsts b ON b.tk = t.q AND b.pos > a.pos JOIN artist_sims r ON r.p = a.ak AND r.q = b.ak
   WHERE t.s * 0.7e0 + r.s * 0.3e0 >= 0.9e0),
-pairs AS (
+listed AS (
   SELECT * FROM text_pairs
   UNION ALL SELECT f.pos, k.pos, 1e0, 'copy' FROM keyed k JOIN firsts f USING (tk, ak) WHERE f.pos <> k.pos
-  UNION ALL SELECT l, pos, 1e0, 'isrc' FROM (SELECT pos, min(pos) OVER (PARTITION BY isrc) AS l FROM keyed WHERE isrc IS NOT NULL) WHERE l <> pos)
+  UNION ALL SELECT l, pos, 1e0, 'isrc' FROM (SELECT pos, min(pos) OVER (PARTITION BY isrc) AS l FROM keyed WHERE isrc IS NOT NULL) WHERE l <> pos),
+pairs AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY pa, pb ORDER BY similarity DESC, array_position(['isrc', 'copy', 'text'], match)) = 1)
 """
 SQL["G1_find_duplicate_rows"] = f"""
 WITH {DUPLICATES}
@@ -515,7 +516,7 @@ SELECT (SELECT count(*) - count(DISTINCT isrc) FROM items WHERE isrc IS NOT NULL
 
 SQL["E2_silhouette"] = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v, label FROM embeddings),
-sums AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(array_distance(a.v, b.v)) AS total, count(*) AS n
+sums AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(array_distance(a.v, b.v) ** 2) AS total, count(*) AS n
          FROM e a JOIN e b ON true GROUP BY ALL),
 ab AS (SELECT vec_id, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN total / nullif(n - 1, 0) END) AS a,
               min(CASE WHEN c <> own THEN total / n END) AS b FROM sums GROUP BY ALL)
