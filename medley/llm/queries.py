@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medley.llm import bpe, minhash, mixing, ngrams, personal, quality, quantised, sharding, suffixes, wavelet
 from medley.llm.common import documents
+from medley.llm.oracle import SQL
 
+__all__ = ["QUERIES", "SQL", "domain_labels", "vocabulary"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
