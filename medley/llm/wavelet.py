@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from medley.llm.common import NULL_ID, shared_folder, utf8
-from medley.llm.wordpieces import WordEncoder, WordSplitter
+from medley.llm.wordpieces import LibraryWords, WordSplitter
 
 BLOCK_TOKENS = 1 << 18
 STEP = 512
@@ -130,11 +130,9 @@ _ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> WordEncoder:
-    """Words encoded by the tokenizers library: its normalizer, pre-tokenizer and model."""
-    splitter = WordSplitter(path)
-    model = splitter.tokenizer.model
-    return WordEncoder(splitter, lambda pieces: [[t.id for t in model.tokenize(p)] for p in pieces])
+def library_words(path: str, wide: bool) -> LibraryWords:
+    """One memo for each Python worker."""
+    return LibraryWords(path, wide)
 
 
 BLOCKS = "shard int, block int, first long, doc_ids array<long>, lengths array<int>, zeros array<int>, planes binary, ranks binary"
@@ -160,7 +158,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_token: int = 2, id
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in library_encoder(path).encode(utf8(batch, "text"))]
+            words = library_words(path, bits > 16)
+            ids = [words.encode(t) + end for t in utf8(batch, "text")]
             k = batch.column("k").to_numpy()
             shard = np.searchsorted(bounds, k, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("k"), batch.column("doc_id"), pa.array(ids, pa.binary())], schema=packed)

@@ -10,13 +10,19 @@ Words of safe letters are split here; all others go through the file's own norma
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import tokenizers
 
-#: Words kept by a Python worker, about 100 MB.
-MEMO_WORDS = 400_000
+#: Words kept by a Python worker, about 200 MB.
+MEMO_WORDS = 1_000_000
+#: Words of a group that are looked up together.
+GROUP_WORDS = 400_000
 SUFFIX = "</w>"
+#: Marks that are pieces of their own after a word of letters.
+MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 
 # Lower case, in composed form and letters under every Unicode version: normalizing leaves such words as they are.
 _safe = re.compile("[!-~à-öø-ÿß]+")
@@ -48,6 +54,11 @@ class WordSplitter:
 
     def parts(self, word: bytes) -> list[str | int]:
         """Byte-level pieces in order; a special token is given as its id."""
+        head, tail = word[:-1], word[-1:]
+        if word.isalpha():  # ASCII letters
+            return [word.lower().decode()]
+        if tail in MARKS and head.isalpha():
+            return [head.lower().decode(), tail.decode()]
         text = word.decode()
         if _safe.fullmatch(text) and "<|" not in text:
             return [byte_level(p) for p in _pieces.findall(text.lower())]
@@ -88,14 +99,15 @@ class WordEncoder:
         at = 0
         while at < len(texts):
             group, size = [], 0
-            while at < len(texts) and (not group or size < self.limit):
+            while at < len(texts) and (not group or size < min(self.limit, GROUP_WORDS)):
                 group.append(words_of(texts[at]))
                 size += len(group[-1])
                 at += 1
-            fresh = {w for words in group for w in words if w not in self.memo}
+            found = set(chain.from_iterable(group))
+            fresh = found.difference(self.memo)
             if len(self.memo) + len(fresh) > self.limit and self.memo:
                 self.memo.clear()
-                fresh = {w for words in group for w in words}
+                fresh = found
             self._learn(fresh)
             yield from group
 
@@ -105,3 +117,29 @@ class WordEncoder:
         ids = dict(zip(pieces, (b"".join(i.to_bytes(4, "little") for i in x) for x in self.encode_pieces(pieces))))
         for w, parts in split.items():
             self.memo[w] = b"".join(ids[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts)
+
+
+class LibraryWords(dict):
+    """Packed ids of words by the tokenizers library: its normalizer, pre-tokenizer and model, up to a bound of words."""
+
+    def __init__(self, path: str, wide: bool = True, limit: int = MEMO_WORDS) -> None:
+        super().__init__()
+        self.splitter, self.code, self.limit = WordSplitter(path), "I" if wide else "H", limit
+        self.model = self.splitter.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        head, tail = word[:-1], word[-1:]
+        if tail in MARKS and head.isalpha():
+            packed = self[head] + self[tail]
+        else:
+            ids: list[int] = []
+            for part in self.splitter.parts(word):
+                ids += [t.id for t in self.model.tokenize(part)] if isinstance(part, str) else [part]
+            packed = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        self[word] = packed
+        return packed
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, words_of(text)))
