@@ -48,6 +48,11 @@ def group_export(tracks: DataFrame, prefix: str = "Auto-", skip_noise: bool = Tr
     return batches.join(plan, "cluster_id")
 
 
+def write_groups(groups: DataFrame, path: str) -> None:
+    """One folder per cluster, written by the tasks that hold its rows."""
+    groups.repartition("cluster_id", "batch").write.partitionBy("cluster_id").parquet(path)
+
+
 def _isrc() -> Column:
     return F.nullif("isrc", F.lit(""))
 

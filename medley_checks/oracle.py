@@ -381,10 +381,10 @@ SQL["A9_collect_library_memberships"] = f"""
 WITH {PULLED} SELECT spotify_id, {_FIRST} - 1 AS m_idx, group_id, group_name FROM pulled
 """
 SQL["A9_library_lists"] = f"""
-WITH {PULLED} SELECT spotify_id, CAST(0 AS BIGINT) AS part,
-       string_agg(group_id, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS playlist_ids,
-       string_agg(group_name, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS playlist_names
-FROM pulled GROUP BY 1
+WITH {PULLED}, placed AS (SELECT *, {_FIRST} - 1 AS m FROM pulled)
+SELECT spotify_id, CAST(m // 2 AS BIGINT) AS part, string_agg(group_id, '|' ORDER BY m) AS playlist_ids,
+       string_agg(group_name, '|' ORDER BY m) AS playlist_names
+FROM placed GROUP BY 1, 2
 """
 SQL["A10_changed_groups"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d') END AS snapshot_id
@@ -419,15 +419,24 @@ SELECT group_id, group_name AS heading, CAST(rank AS INTEGER) AS rank, printf('
   FROM scored) WHERE rank <= 3
 """
 _ORDER_ROWS = """
-SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist, o_orderstatus AS album,
+SELECT {pos} CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist, o_orderstatus AS album,
        CAST(year(o_orderdate) AS INTEGER) AS year, CAST(trunc(o_totalprice) AS BIGINT) AS duration_ms,
-       {energy} AS energy, CAST(NULL AS VARCHAR) AS isrc,
+       {energy} AS energy, {nulls},
        'c' || o_custkey || '|status-' || o_orderstatus || '|prio-' || substr(o_orderpriority, 1, 1) AS playlist_ids,
        'Customer ' || o_custkey || '|Status ' || o_orderstatus || '|' || substr(o_orderpriority, 3, 20) AS playlist_names, '' AS genres
 FROM orders
 """
-SQL["A2_read_json"] = SQL["A3_read_delimited"] = _ORDER_ROWS.format(energy="round(round(CAST(trunc(o_totalprice) AS BIGINT) / 3e0, 12), 6) + 0e0")
-SQL["A4_write_json"] = "SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, 'Customer ' || o_custkey AS artist FROM orders"
+_THIRD = "round(round(CAST(trunc(o_totalprice) AS BIGINT) / 3e0, 12), 6) + 0e0"
+_NULLS = {
+    "VARCHAR": "isrc added_at genre_source feature_source",
+    "DOUBLE": "genre_match_confidence tempo danceability valence acousticness instrumentalness liveness loudness speechiness feature_match_confidence outlier_score",
+    "INTEGER": "cluster_id",
+}
+_NULLS = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for kind, names in _NULLS.items() for name in names.split())
+_PLACE = "row_number() OVER (ORDER BY o_orderkey) AS pos,"
+SQL["A2_read_json"] = _ORDER_ROWS.format(pos="o_orderkey AS pos,", energy=_THIRD, nulls=_NULLS)
+SQL["A3_read_delimited"] = _ORDER_ROWS.format(pos=_PLACE, energy=_THIRD, nulls=_NULLS)
+SQL["A4_write_json"] = _ORDER_ROWS.format(pos="", energy="CAST(NULL AS DOUBLE)", nulls=_NULLS)
 SQL["A5_write_delimited"] = r"""
 SELECT CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderpriority || chr(9) || 'Customer ' || o_custkey || chr(9) || o_orderstatus || chr(9)
        || 'c' || o_custkey || ';status-' || o_orderstatus || ';prio-' || substr(o_orderpriority, 1, 1) || chr(9)
@@ -436,10 +445,7 @@ SELECT CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderpriority || chr(9) || 'Cu
        || printf('%.8f', CAST(trunc(o_totalprice) AS BIGINT) / 4e0) || repeat(chr(9), 12) AS line
 FROM orders
 """
-SQL["A6_convert"] = """
-SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, o_orderpriority AS title, 'Customer ' || o_custkey AS artist,
-       'c' || o_custkey || '|status-' || o_orderstatus || '|prio-' || substr(o_orderpriority, 1, 1) AS playlist_ids FROM orders
-"""
+SQL["A6_convert"] = _ORDER_ROWS.format(pos=_PLACE, energy="CAST(NULL AS DOUBLE)", nulls=_NULLS)
 
 # Blanks as Unicode defines them.
 BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -543,3 +549,20 @@ SELECT group_id, group_name AS heading, CAST(rank AS INTEGER) AS rank,
        printf('  %.3f  %s — %s', (d - near) / (far - near), artist, title) AS line
 FROM scored WHERE rank <= 4
 """
+
+SQL["pull_command"] = f"""
+WITH {PULLED}, chosen AS (SELECT * FROM pulled WHERE CAST(l_orderkey AS VARCHAR) LIKE '1%' AND l_orderkey IN (SELECT o_orderkey FROM orders))
+SELECT spotify_id, {_FIRST} - 1 AS m_idx, group_id, group_name FROM chosen
+"""
+SQL["enrich_command"] = SQL["C1_enrich_features"]
+SQL["merge_command"] = SQL["C8_merge_libraries"]
+SQL["split_command"] = f"""
+WITH {CLUSTERED} SELECT cluster_id, 'Auto-Cluster ' || cluster_id AS group_name,
+       'Generated from cluster ' || cluster_id || ' (' || count(*) || ' tracks).' AS description, count(*) AS track_count
+FROM clustered WHERE cluster_id IS NOT NULL AND cluster_id <> -1 GROUP BY cluster_id
+"""
+SQL["push_merge_command"] = """
+WITH placed AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderstatus = 'F')
+SELECT 'All F' AS group_name, CAST(i // 100 AS BIGINT) AS batch, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS track_ids,
+       'Merged from: status f.' AS description FROM placed GROUP BY i // 100
+"""

@@ -12,7 +12,7 @@ from medley.operators import density, duplicates, enrich, export, features, kmea
 from medley.operators.features import Weights
 from medley.plans import commands
 from medley.plans.skew import materialized, temporary_path
-from medley.schema import AUDIO_FIELDS, ID
+from medley.schema import AUDIO_FIELDS, ID, TRACK_FIELDS, TRACK_SCHEMA
 from medley.sources import lookups, services, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,7 +301,7 @@ def A9_collect_library_memberships(spark: SparkSession, sf_dir: str) -> DataFram
 
 @query
 def A9_library_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = membership.implode_memberships(_library(spark, sf_dir)[1])
+    lists = membership.implode_memberships(_library(spark, sf_dir)[1], chunk=2)
     return joined(lists, "playlist_ids", "playlist_names")
 
 
@@ -324,7 +324,9 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def A11_group_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(export.group_export(_clustered(spark, sf_dir)), "track_ids")
+    path = temporary_path(spark)
+    export.write_groups(export.group_export(_clustered(spark, sf_dir)), path)
+    return joined(spark.read.parquet(path), "track_ids")
 
 
 @query
@@ -357,11 +359,11 @@ def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     path = temporary_path(spark, f".{fmt}")
     items = B.order_items(spark, sf_dir).withColumn("energy", F.col("duration_ms") / F.lit(3e0))
     tracks.write_tracks(items, path)
-    back = tracks.read_tracks(spark, path)
-    names = ("playlist_ids", "playlist_names", "genres")
-    return joined(rounded(back, "energy").drop("pos"), *names).select(
-        ID, "title", "artist", "album", "year", "duration_ms", "energy", "isrc", *names
-    )
+    return _all_fields(tracks.read_tracks(spark, path)).select("pos", *TRACK_FIELDS)
+
+
+def _all_fields(back: DataFrame) -> DataFrame:
+    return joined(rounded(back, "energy"), "playlist_ids", "playlist_names", "genres")
 
 
 @query
@@ -378,8 +380,7 @@ def A3_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def A4_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = temporary_path(spark, ".json")
     tracks.write_tracks(B.order_items(spark, sf_dir), path)
-    lines = spark.read.text(path)
-    return lines.select(F.get_json_object("value", "$.spotify_id").alias(ID), F.get_json_object("value", "$.artist").alias("artist"))
+    return _all_fields(spark.read.schema(TRACK_SCHEMA).json(path)).select(*TRACK_FIELDS)
 
 
 @query
@@ -394,7 +395,7 @@ def A6_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = temporary_path(spark, ".parquet"), temporary_path(spark, ".tab")
     tracks.write_tracks(B.order_items(spark, sf_dir), first)
     tracks.convert(spark, first, second)
-    return joined(tracks.read_tracks(spark, second).select(ID, "title", "artist", "playlist_ids"), "playlist_ids")
+    return _all_fields(tracks.read_tracks(spark, second)).select("pos", *TRACK_FIELDS)
 
 
 # --- near-duplicate items ---
@@ -484,3 +485,42 @@ def E5_cluster_command(spark: SparkSession, sf_dir: str) -> DataFrame:
 def F3_outlier_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = B.order_items(spark, sf_dir).withColumn("tempo", F.col("duration_ms") / F.lit(2000e0))
     return commands.list_outliers(items, playlists=["status", "prio"], top_n=4)
+
+
+# --- the other commands ---
+
+
+@query
+def pull_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memberships of the playlists whose name starts like the filter."""
+    return commands.pull(B.raw_playlists(spark, sf_dir), B.item_pages(spark, sf_dir), B.PAGE_ORDER, playlists=["order 1"])[1]
+
+
+@query
+def enrich_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _with_older(B.feature_answers(spark, sf_dir)).unionByName(B.genre_answers(spark, sf_dir))
+    out = commands.enrich(B.as_tracks(B.part_items(spark, sf_dir)), answers, "reccobeats")[0]
+    names = ("tempo", "energy", "loudness", "danceability", "feature_match_confidence")
+    return rounded(out, *names).select(ID, "feature_source", *names)
+
+
+@query
+def merge_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three library files into one file, the merged rows read back from it."""
+    paths = [temporary_path(spark, ".parquet") for _ in "ANR"]
+    for path, flag in zip(paths, "ANR"):
+        tracks.write_tracks(B.line_library(spark, sf_dir, flag), path)
+    target = temporary_path(spark, ".jsonl")
+    commands.merge(spark, paths, target)
+    lists = ("playlist_ids", "playlist_names", "genres")
+    return joined(tracks.read_tracks(spark, target).select("pos", ID, "title", "isrc", "year", "duration_ms", *lists), *lists)
+
+
+@query
+def split_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.split(_clustered(spark, sf_dir), dry_run=True)
+
+
+@query
+def push_merge_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(commands.merge_playlists(B.order_items(spark, sf_dir), ["status f"], "All F"), "track_ids")
