@@ -6,34 +6,24 @@ sides split UTF-8 bytes and never decode.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from medley.plans.skew import temporary_path
 
 #: Stands for a null id: sorts before every real one.
 NULL_ID = -(2**63)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set here only on a local master without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="medley-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read to the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor, keeps column pruning and real sizes.
+    Cuts the lineage with files that outlive any executor, keeps column pruning and real sizes. The folder is
+    deleted when Spark ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = temporary_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,7 +64,3 @@ def batches(schema: pa.Schema, fn: Callable[[pa.RecordBatch], dict]) -> Callable
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
-
-
-def clipped(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))

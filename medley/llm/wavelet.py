@@ -22,7 +22,6 @@ other columns are ignored. A document longer than a block is a block of its own.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from medley.llm.common import NULL_ID, shared_folder, utf8
+from medley.llm.common import NULL_ID, utf8
 from medley.llm.wordpieces import LibraryWords, WordSplitter
+from medley.plans.skew import temporary_path
 
 BLOCK_TOKENS = 1 << 18
 STEP = 512
@@ -244,6 +244,6 @@ def token_counts(spark: SparkSession, folder: str, tokens: list[int]) -> DataFra
 def stored(docs: DataFrame, path: str, end_token: int = 2) -> DataFrame:
     """Write the files to the shared folder and read the documents back."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    folder = temporary_path(spark)
     write_tokens(docs, folder, path, end_token)
     return read_documents(spark, folder)
