@@ -566,3 +566,4 @@ WITH placed AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 A
 SELECT 'All F' AS group_name, CAST(i // 100 AS BIGINT) AS batch, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS track_ids,
        'Merged from: status f.' AS description FROM placed GROUP BY i // 100
 """
+SQL["D7_feature_vectors"] = SQL["D7_build_feature_matrix"]

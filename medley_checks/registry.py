@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medley import bindings as B
@@ -102,6 +103,15 @@ def D7_build_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.features_long(B.part_items(spark, sf_dir)), "value").drop("pos")
 
 
+@query
+def D7_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the vector form, listed as the long form lists them."""
+    vectors, columns = features.features_vector(B.part_items(spark, sf_dir))
+    cells = vectors.select(ID, F.posexplode(vector_to_array("features")).alias("idx", "value"))
+    named = cells.join(columns, "idx").where((F.col("value") != 0) | ~F.startswith("feature", F.lit("genre:")))
+    return rounded(named, "value").select(ID, "feature", "value")
+
+
 # --- memberships ---
 
 SELECTED = ["STATUS F", "c12"]
