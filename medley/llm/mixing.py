@@ -2,8 +2,9 @@
 
 1. Classifier. At most `sample` labelled documents, those with the smallest id hashes, train a naive Bayes model
    on distinct words (hashed to `buckets`) and three coarse text measures. A feature's log ratio to the average
-   domain is shrunk by `shrink` pseudo-occurrences; features with a ratio below `least` in every domain are left
-   out. Every document gets posteriors from the sum of its features' ratios and the domains' shares.
+   domain is shrunk by `shrink` pseudo-occurrences; only features with a ratio of `least` or more in some domain are
+   kept. Every document gets posteriors from the domains' shares, the sum of its features' ratios, and how many of
+   the kept features a text of its length would hold in each domain (Poisson counts: their absence counts too).
 2. Rates. With n_i words and posteriors p_id, domain d's expected total is T_d(r) = sum_i r_i n_i p_id. Projected
    gradient descent from r = 1 minimises sum_d (T_d(r) - goal_d)^2 / T_d(1) over r >= 0 in the metric of the n_i:
 
@@ -70,8 +71,8 @@ def _exploded(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     ).drop("feature")
 
 
-def model(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int, buckets: int, shrink: float, least: float) -> tuple[DataFrame, list[float]]:
-    """(bucket, one log ratio per domain), and the domains' smoothed log shares."""
+def model(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int, buckets: int, shrink: float, least: float) -> tuple[DataFrame, list[float], list[float]]:
+    """(bucket, one log ratio per domain), the domains' log shares, and the share of kept features in their texts."""
     k = len(domains)
     chosen = labels.where(F.col("domain").isin(domains) & F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id", "domain").limit(sample)
     train = written(docs.select("id", "text").join(F.broadcast(chosen), "id").select("domain", "text"))
@@ -79,13 +80,15 @@ def model(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int, b
     total = sum(shares.values())
     if not total:
         empty = train.select(F.lit(0).alias("bucket"), *(F.lit(0.0).alias(f"w{d}") for d in range(k))).limit(0)
-        return empty, [0.0] * k
+        return empty, [0.0] * k, [0.0] * k
     per = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c{i}") for i, d in enumerate(domains)]
     counts = _exploded(train, ["domain"], buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), *per)
     ratios = [F.log((F.col(f"c{i}") + shrink) / (F.col("c") * (shares.get(d, 0) / total) + shrink)) for i, d in enumerate(domains)]
-    named = counts.select("bucket", *(r.alias(f"w{i}") for i, r in enumerate(ratios)))
-    strong = named.where(F.greatest(F.lit(0.0), *(F.abs(F.col(f"w{i}")) for i in range(k))) >= least)
-    return written(strong), [math.log(shares[d] / total) if shares.get(d) else -1e6 for d in domains]
+    named = written(counts.select("bucket", "c", *(r.alias(f"w{i}") for i, r in enumerate(ratios))))
+    strong = named.where(F.greatest(F.lit(0.0), *(F.col(f"w{i}") for i in range(k))) >= least)
+    every = named.agg(F.sum("c")).first()[0] or 1
+    held = strong.agg(*(F.sum(F.col("c") * F.exp(f"w{i}")).alias(f"h{i}") for i in range(k))).first()
+    return strong.drop("c"), [math.log(shares[d] / total) if shares.get(d) else -1e6 for d in domains], [(h or 0.0) / every for h in held]
 
 
 def posteriors(
@@ -93,14 +96,14 @@ def posteriors(
 ) -> DataFrame:
     """(rid, id, u, n, p0..): a row per document; `docs` has id and text, `labels` id and domain."""
     k = len(domains)
-    weights, shares = model(docs, labels, domains, sample, buckets, shrink, least)
+    weights, shares, held = model(docs, labels, domains, sample, buckets, shrink, least)
     rows = docs.select("id", "text").withColumn("u", F.pmod(F.xxhash64("id", "text"), F.lit(2**32)) / 2**32).withColumn("rid", F.monotonically_increasing_id())
     words = _exploded(rows, ["rid", "id", "u"], buckets)
     # Left join: a document without any strong feature keeps its row.
     summed = words.join(F.broadcast(weights), "bucket", "left").groupBy("rid").agg(
-        F.first("id").alias("id"), F.first("u").alias("u"), F.first("n").alias("n"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(k))
+        F.first("id").alias("id"), F.first("u").alias("u"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(k))
     )
-    logits = [F.col(f"w{i}") + F.lit(shares[i]) for i in range(k)]
+    logits = [F.col(f"w{i}") + F.lit(shares[i]) - F.col("size") * F.lit(held[i]) for i in range(k)]
     top = F.greatest(*logits) if k > 1 else logits[0]
     parts = [F.exp(x - top) for x in logits]
     whole = sum(parts[1:], parts[0])
