@@ -6,11 +6,11 @@ its value. An empty bin takes the value of the first non-empty bin in its own fi
 `rows` bins make bucket keys; `rows` is the largest number for which a pair at the threshold misses all bands
 with a probability of at most 1e-9.
 
-Documents with equal sets collapse to one set first. In every bucket the member with the smallest set number is
-the centre and is paired with all others (a star, linear in the bucket); pairs are confirmed on the full sets.
-Centres are then taken out, and buckets whose other members still lie in different components go into a next
-round with more centres, until no bucket holds two members that are neither compared nor connected. Stars thus
-lose no link within a bucket: a pair left uncompared is already connected.
+Documents with equal sets collapse to one set first. In every bucket the member that meets most others is the
+centre and is paired with all others (a star, linear in the bucket); pairs are confirmed on the full sets. Sets
+of buckets whose members are not all connected by then are dealt anew by their rarest shared shingles, which
+drops pairs that only share a common passage, and stars with new centres are drawn there, more per round, until no
+bucket holds two members that are neither compared nor connected. So no link within a bucket is lost.
 
 Shuffled: bucket rows of 20 bytes per band, and the texts once to get the full sets of bucket mates; nothing
 is collected but counts. Hot buckets and hot centres are single keys of aggregates that combine before the
@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from medley.llm.common import NULL_ID, utf8, written
 from medley.llm.components import components
@@ -38,6 +38,7 @@ SHINGLE = 5
 BANDS = 40
 MISS = 1e-9
 MEMO_WORDS = 400_000
+LANES = 8
 
 _u = np.uint64
 _factors = [_u(int(x) | 1) for x in np.random.default_rng(5).integers(0, 2**64, SHINGLE, dtype=np.uint64)]
@@ -129,7 +130,7 @@ def _set_number(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _signed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, threshold: float, id_col: str, text_col: str, bands_: int) -> DataFrame:
     """(k, s, n, bands): the set number, size and bucket keys of every document; no bands for an empty set."""
     schema = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -139,7 +140,7 @@ def _signed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Da
                 batch = whole.slice(at, 1000)
                 sets = [shingles(t) for t in utf8(batch, "text")]
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys([sets[i] for i in some], threshold).view(np.int64)
+                keys = band_keys([sets[i] for i in some], threshold, bands_).view(np.int64)
                 bands: list = [[]] * len(sets)
                 for i, row in zip(some, keys):
                     bands[i] = row
@@ -156,79 +157,117 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, shingles) of the wanted (s, k), from their documents' texts."""
-    schema = pa.schema([("s", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("s", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = []
+        for batch in (whole.slice(at, 1000) for whole in it for at in range(0, whole.num_rows, 1000)):
+            numbers, found = [], []
             for s, text in zip(batch.column("s").to_pylist(), utf8(batch, "text")):
                 one = shingles(text)
                 if _set_number(one) == s:  # rows that share an id may hold other texts
-                    found.append((s, one.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+                    numbers.append(s)
+                    found.append(one.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
-    return texts.join(wanted.hint("shuffle_hash"), "k").select("s", "text").mapInArrow(rows, "s long, shingles binary")
+    return texts.join(wanted.hint("shuffle_hash"), "k").select("s", "text").mapInArrow(rows, "s long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], schema=schema)
-
     one = sets.select(F.col("s").alias("a"), F.col("shingles").alias("one"))
     two = sets.select(F.col("s").alias("b"), F.col("shingles").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(rows, "a long, b long")
+    met = pairs.join(one, "a").join(two, "b")
+    met = met.select("a", "b", F.size(F.array_intersect("one", "two")).alias("common"), (F.size("one") + F.size("two")).alias("total"))
+    return met.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; links are pairs with a similarity of at least percent / 100."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    signed = written(_signed(docs, percent / 100, id_col, text_col))
-    sets = signed.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _size_fits(percent: int) -> Column:
+    return 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the component their set is in so far; a set without links is its own."""
+    return rows.join(roots, rows["s"] == roots["v"], "left").select(*rows.columns, F.coalesce("root", "s").alias("root"))
+
+
+def _unconnected(rows: DataFrame) -> DataFrame:
+    """(b, most): buckets with several components, and the one most members are in."""
+    counts = rows.groupBy("b", "root").agg(F.count(F.lit(1)).alias("m"))
+    return counts.groupBy("b").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("b", "most")
+
+
+def _rare_buckets(active: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Buckets by a rare shared shingle, for sets that share a bucket without being connected.
+
+    With shingles ordered from the rarest, sets at the threshold share one among their first
+    n - ceil(t n) + 1, and none that only one set has. So a set with fewer than t n shared shingles links
+    with nothing, and unlike sets with a common passage hardly ever meet. `prefix` holds the set's keys in order.
+    """
+    one = active.join(full, "s").select("s", F.explode("shingles").alias("t"))
+    often = one.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    hits = one.join(often, "t").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    sized = active.join(hits, "s").withColumn("c", F.size("ts"))
+    take = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - c)")
+    kept = sized.withColumn("take", take.cast("int")).where("take > 0")
+    listed = kept.withColumn("prefix", F.transform(F.slice("ts", F.lit(1), F.greatest("take", F.lit(0))), lambda x: x["t"]))
+    return listed.select(F.explode("prefix").alias("b"), "s", "k", "n", "weight", "c", "prefix")
+
+
+def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): enough links between sets to connect every component."""
+    spark = sets.sparkSession
     rows = sets.select("s", "k", "n", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("b")
-    active = written(rows.join(shared, "b").select("b", "s", "k", "n"))
-    full = None
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "v long, root long")
-    width = 1
+    shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # A set that meets many others in its buckets is the likely origin of its copies: it becomes the centre.
+    met = rows.join(shared, "b").groupBy("s").agg(F.sum("m").alias("weight"), F.collect_list("b").alias("bs"), F.first("k").alias("k"), F.first("n").alias("n"))
+    active = written(met.select(F.explode("bs").alias("b"), "s", "k", "n", "weight"))
+    full = written(_full_sets(texts, active.select("s", "k").distinct()).dropDuplicates(["s"]))
+
+    first = active.groupBy("b").agg(F.max(F.struct("weight", "s", "n")).alias("c")).select("b", F.col("c.s").alias("c"), F.col("c.n").alias("cn"))
+    stars = active.join(first, "b").where((F.col("s") != F.col("c")) & _size_fits(percent)).select(*_pair("s", "c")).distinct()
+    links = written(_confirmed(stars, full, percent))
+    roots = components(links)
+    placed = _rooted(active, roots)
+    open_sets = placed.join(_unconnected(placed), "b").select("s", "k", "n", "weight").distinct()
+    rare = written(_rare_buckets(written(open_sets), full, percent))
+    width = LANES
     while True:
-        # Members with the component they are in so far; a set without links is its own.
-        members = active.join(roots, active["s"] == roots["v"], "left").select("b", "s", "k", "n", F.coalesce("root", "s").alias("root"))
-        mixed = members.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("b")
-        members = written(members.join(mixed, "b"))
+        members = _rooted(rare, roots)
+        members = written(members.join(_unconnected(members), "b"))
         if members.limit(1).count() == 0:
-            break
-        centres = members.groupBy("b", F.pmod("s", F.lit(width)).alias("lane")).agg(F.min(F.struct("s", "n", "root")).alias("c"))
-        centres = written(centres.select("b", F.col("c.s").alias("c"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot")))
-        pairs = (
-            members.join(centres, "b")
-            .where((F.col("root") != F.col("croot")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-            .select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
-            .distinct()
+            return links
+        # Members outside the largest component become centres, some per bucket and round, each once.
+        outside = members.where("root != most").groupBy("b", F.pmod("s", F.lit(width)).alias("lane"))
+        centres = outside.agg(F.max(F.struct("weight", "s", "n", "c", "root", "prefix")).alias("x"))
+        centres = written(centres.select("b", *(F.col(f"x.{c}").alias(f"c{c}") for c in ("s", "n", "c", "root", "prefix"))))
+        least = F.least("c", "cc")
+        pairs = members.join(centres, "b").where(
+            (F.col("root") != F.col("croot"))
+            & _size_fits(percent)
+            & (100 * least >= percent * (F.col("n") + F.col("cn") - least))
+            & (F.element_at(F.array_intersect("prefix", "cprefix"), 1) == F.col("b"))  # each pair in one bucket only
         )
-        if full is None:
-            full = written(_full_sets(texts, members.select("s", "k").distinct()).dropDuplicates(["s"]))
-        found = written(_confirmed(pairs, full, percent))
-        active = written(members.join(centres, (members["b"] == centres["b"]) & (members["s"] == centres["c"]), "left_anti").select("b", "s", "k", "n"))
+        found = written(_confirmed(pairs.select(*_pair("s", "cs")).distinct(), full, percent))
+        done = centres.select(F.col("b").alias("cb"), "cs")
+        rare = written(members.join(done, (F.col("b") == F.col("cb")) & (F.col("s") == F.col("cs")), "left_anti").drop("root", "most"))
         if found.limit(1).count():
             links = written(links.unionByName(found))
             roots = components(links)
-        width *= 2
+        width *= LANES
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; links are pairs with a similarity of at least percent / 100."""
+    texts = _texts(docs, id_col, text_col)
+    signed = written(_signed(docs, percent / 100, id_col, text_col, bands))
+    sets = signed.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    links = _links(texts, sets, percent)
     # Documents hang on the smallest id of their set, and set numbers become those ids.
-    by_set = sets.select("s", F.col("k").alias("first"))
+    by_set = signed.where("n > 0").groupBy("s").agg(F.min("k").alias("first"))
     own = signed.where("n > 0").join(by_set, "s").select(F.col("k").alias("a"), F.col("first").alias("b"))
     linked = links.join(by_set.select(F.col("s").alias("a"), F.col("first").alias("x")), "a").join(by_set.select(F.col("s").alias("b"), F.col("first").alias("y")), "b")
     graph = components(own.where("a != b").unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))))
