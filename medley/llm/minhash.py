@@ -214,7 +214,8 @@ def _rare_buckets(active: DataFrame, full: DataFrame, percent: int) -> DataFrame
     take = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - c)")
     kept = sized.withColumn("take", take.cast("int")).where("take > 0")
     listed = kept.withColumn("prefix", F.transform(F.slice("ts", F.lit(1), F.greatest("take", F.lit(0))), lambda x: x["t"]))
-    return listed.select(F.explode("prefix").alias("b"), "s", "k", "n", "weight", "c", "prefix")
+    # `c` counts the shared shingles from the bucket's own on: what two sets can have in common if it is their first.
+    return listed.select(F.posexplode("prefix").alias("i", "b"), "s", "k", "n", "weight", (F.col("c") - F.col("i")).alias("c"), "prefix").drop("i")
 
 
 def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
