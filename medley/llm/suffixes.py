@@ -157,6 +157,11 @@ def _sample_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.r_[False, (h[by][1:] == h[by][:-1]) & (c[by][1:] == c[by][:-1])]
         again = np.zeros(len(by), bool)
         again[by] = same
+        # A row equal to an earlier one brings the same suffixes: they are the group's first itself, not repeats of it.
+        first = np.empty(len(by), np.int64)
+        first[by] = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+        keep = ~again | (k != k[first]) | (tie != tie[first]) | (p != p[first])
+        k, tie, p, r, h, c, again = (x[keep] for x in (k, tie, p, r, h, c, again))
         g = np.where(again, _join(_join(k.astype(np.uint64), tie.astype(np.uint64)), p.astype(np.uint64)), h).view(np.int64)
         columns = [g, np.where(again, _u(0), c).view(np.int64), k, tie, p.astype(np.int32), np.where(again, -r, r).astype(np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_suffixes)
@@ -325,6 +330,8 @@ def _compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(held) >= CHUNK and lead != held[-1][0]:
                 yield resolved(held)
                 held = []
+            if held and held[-1][3:6] == (k, tie, p):
+                continue  # an equal row's bytes
             held.append(row)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _spans)], schema=_spans)

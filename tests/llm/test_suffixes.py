@@ -69,6 +69,14 @@ def test_edge_rows_and_samples(docs, edge_rows, sample):
     assert suffixes.deduplicated(docs([])).count() == 0
 
 
+@pytest.mark.parametrize(("partitions", "hot"), [(1, suffixes.HOT), (4, suffixes.HOT), (1, 1)])
+def test_long_equal_rows_are_one_document(docs, sample, partitions, hot):
+    long = [t for _, t in sample if t and 1000 < len(t) < 20_000][:4]
+    rows = [(None, long[0]), (None, long[0]), (900, long[1]), (900, long[1]), (900, long[1]), (901, "new " + long[1][200:600] + " end"), (5, long[2])]
+    rows += [(902, long[3] + " " + long[3]), (902, long[3] + " " + long[3])]
+    assert result(suffixes.deduplicated(docs(rows, partitions), hot=hot)) == plain(rows)
+
+
 def test_segments_of_long_texts(monkeypatch):
     r = random.Random(4)
     texts = ["".join(r.choice("ab ") for _ in range(5000)).encode(), b"", b"q" * 400, ("lead " * 30).encode()]
