@@ -4,9 +4,10 @@ Index: unit vectors go to the list of their nearest coarse centre (about sqrt(n)
 `SUBSPACES` parts, each stored as the number of its nearest code. Centres and codes are fitted by k-means on at
 most `sample` vectors, those with the smallest hashes; every vector is indexed.
 
-Search: each vector is compared within its own list and visits every later list whose border with its own is
-nearer than `slack`; a pair at the threshold is sqrt(2 - 2 cos) apart, and only the part of that distance along
-the line between two centres can carry it across their border. Inside a list distances come from a table of the
+Search: each vector is compared within its own list and visits every other list whose border with its own is
+nearer than `slack`. A pair at the threshold is sqrt(2 - 2 cos) apart, so if a border lies between the two, one of
+them is at most half of that away from it: with slack at that half, the default, every pair meets in one of the
+two lists. Where both visit each other, the visit to the earlier list leaves the pair out. Inside a list distances come from a table of the
 visitor's residual parts against all codes, plus the stored error of each code, which bounds the true
 distance from below: no true pair of a probed list is lost there. What remains is reranked by cosine in
 double precision.
@@ -19,7 +20,7 @@ Defined results: vectors that are null, empty, zero, of another length than most
 null or non-finite components link with nothing; null ids are the smallest id and come back as null; rows
 that share an id are one vertex of the components and count as separate rows in n_links; equal rows get equal
 results; an empty table gives an empty table; other columns are ignored. Distinct vectors are told apart by a
-64-bit hash. Recall is below 1 only through `slack`; the tests measure it against all pairs.
+64-bit hash. No pair is lost unless a smaller `slack` is given.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ SUBSPACES = 8
 CODES = 256
 BLOCK = 1024
 SAMPLE = 16_384
-SLACK = 0.16
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -80,12 +80,13 @@ class Index:
         return home, codes.astype(np.uint8), np.sqrt(error)
 
     def visited(self, x: np.ndarray, home: np.ndarray, slack: float) -> list[np.ndarray]:
-        """Later lists whose border with the own one is nearer than slack."""
+        """Other lists whose border with the own one is nearer than slack."""
         d = x @ (-2 * self.centres.T) + (self.centres**2).sum(axis=1)
         own, square = self.centres[home], (self.centres**2).sum(axis=1)
         between = np.sqrt(np.maximum(square + square[home][:, None] - 2 * own @ self.centres.T, 1e-300))
-        border = (d - d[np.arange(len(x)), home][:, None]) / (2 * between)
-        near = (border <= slack) & (np.arange(len(self.centres))[None, :] > home[:, None])
+        # Twice the distance to the border times `between`; the margin is above what rounding adds.
+        near = d - d[np.arange(len(x)), home][:, None] <= 2 * slack * between + 1e-7
+        near[np.arange(len(x)), home] = False
         return [np.flatnonzero(row) for row in near]
 
     def table_distances(self, x: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
@@ -149,6 +150,10 @@ def _links(one: dict, two: dict | None, index: Index, home: int, threshold: floa
     near = np.sqrt(index.table_distances(one["unit"], home, other["codes"])) <= reach + other["error"][None, :]
     if two is None:
         near = np.triu(near | near.T, 1)
+    else:
+        # Members that visit a later list have met its vectors there.
+        for later in np.unique(one["home"][one["home"] > home]):
+            near[np.ix_(one["home"] == later, two["row"][two["visits"] == later])] = False
     a, b = np.nonzero(near)
     keep = np.einsum("ij,ij->i", one["unit"][a], other["unit"][b]) >= threshold
     a, b = a[keep], b[keep]
@@ -170,12 +175,14 @@ def near_vectors(
     threshold: float = 0.95,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    slack: float = SLACK,
+    slack: float | None = None,
     sample: int = SAMPLE,
     block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
+    if slack is None:
+        slack = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(vector_col).cast("array<double>").alias("e"))
     rows = rows.withColumn("s", F.xxhash64("e"))
     common = rows.where("size(e) > 0").groupBy(F.size("e").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
@@ -209,15 +216,17 @@ def near_vectors(
     member = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     guests = indexed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("guest_blocks"))
     plan = written(member.join(guests, "list", "left").select("list", "blocks", F.coalesce("guest_blocks", F.lit(0)).alias("guest_blocks")))
-    payload = ["s", "mult", "codes", "error", "unit"]
-    own = indexed.drop("visits").join(F.broadcast(plan), "list").withColumn("x", F.pmod("s", F.col("blocks")).cast("int"))
+    payload = ["s", "mult", "codes", "error", "unit", "home", "later"]
+    # The list a visitor comes from and the later lists a host visits say which pairs meet elsewhere.
+    no_home, no_later = F.lit(-1).alias("home"), F.lit(None).cast("array<int>").alias("later")
+    own = indexed.withColumn("home", no_home).withColumn("later", F.expr("filter(visits, v -> v > list)")).drop("visits").join(F.broadcast(plan), "list").withColumn("x", F.pmod("s", F.col("blocks")).cast("int"))
     many = lambda c: F.sequence(F.lit(0), c - 1)
     # Side 0 and 1 meet in a group: two blocks of members (x <= y), or a block of visitors (x < 0) and one of members.
-    inside = own.withColumn("o", F.explode(many(F.col("blocks")))).select(
+    inside = own.withColumn("later", no_later).withColumn("o", F.explode(many(F.col("blocks")))).select(
         "list", F.least("x", "o").alias("x"), F.greatest("x", "o").alias("y"), F.when(F.col("x") <= F.col("o"), 0).otherwise(1).alias("side"), *payload
     )
     hosts = own.where("guest_blocks > 0").withColumn("o", F.explode(many(F.col("guest_blocks")))).select("list", (-1 - F.col("o")).alias("x"), F.col("x").alias("y"), F.lit(1).alias("side"), *payload)
-    visit = indexed.withColumn("home", F.col("list")).withColumn("list", F.explode("visits")).join(F.broadcast(plan), "list")
+    visit = indexed.withColumn("home", F.col("list")).withColumn("later", no_later).withColumn("list", F.explode("visits")).join(F.broadcast(plan), "list")
     visit = visit.withColumn("x", F.pmod("s", F.col("guest_blocks")).cast("int")).withColumn("o", F.explode(many(F.col("blocks"))))
     visit = visit.select("list", (-1 - F.col("x")).alias("x"), F.col("o").alias("y"), F.lit(0).alias("side"), *payload)
 
@@ -227,7 +236,10 @@ def near_vectors(
 
         def rows_of(mask: np.ndarray) -> dict:
             t = table.filter(pa.array(mask))
+            later = [x or () for x in t.column("later").to_pylist()]
             return {
+                "home": t.column("home").to_numpy(), "row": np.repeat(np.arange(len(later)), [len(x) for x in later]),
+                "visits": np.array([v for x in later for v in x], np.int64),
                 "s": t.column("s").to_numpy(), "mult": t.column("mult").to_numpy(), "error": t.column("error").to_numpy(),
                 "codes": np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES),
                 "unit": np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, width),

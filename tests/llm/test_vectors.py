@@ -76,6 +76,20 @@ def test_recall_with_default_slack(spark, docs):
     assert (have <= want).all() and have.sum() >= 0.98 * want.sum()
 
 
+def low_rank(n, rank, planted):
+    """Vectors of few dimensions in 16, and near copies of the first ones."""
+    r = np.random.default_rng(rank)
+    x = r.normal(size=(n, rank)) @ r.normal(size=(rank, 16))
+    near = x[:planted] + r.normal(size=(planted, 16)) * 0.2 * np.linalg.norm(x[:planted], axis=1)[:, None] / 4
+    return [(i, e.tolist()) for i, e in enumerate(np.concatenate([x, near]).astype(np.float32))]
+
+
+@pytest.mark.parametrize(("rank", "block"), [(3, 1024), (4, 100), (8, 1024)])
+def test_equal_to_all_pairs_with_default_slack(spark, docs, rank, block):
+    rows = low_rank(1200, rank, 200)
+    assert got(quantised.near_vectors(frame(spark, docs, rows), 0.95, block=block)) == plain(rows, 0.95)
+
+
 def test_empty_and_unusable(spark, docs):
     assert quantised.near_vectors(frame(spark, docs, [])).count() == 0
     rows = [(1, None), (2, []), (3, [0.0] * 16)]
