@@ -270,7 +270,8 @@ def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
 def _neighbour_classes(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the strings, common prefix lengths of neighbours in it, and lengths."""
     m, lengths, keys = _matrix(strings, width)
-    order = multikey_order(keys)
+    # The length comes last: zero bytes equal the padding, and only equal strings may stand between equal strings.
+    order = multikey_order(np.column_stack([keys, lengths.astype(np.uint64)]))
     a, b = m[order][1:], m[order][:-1]
     differ = a != b
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if len(a) else np.zeros(0, int)

@@ -97,6 +97,13 @@ def test_multikey_order():
     assert [tuple(x) for x in keys[order]] == sorted(tuple(x) for x in keys)
 
 
+def test_zero_bytes_are_not_padding():
+    body = bytes(range(1, 61))
+    suffixes_ = [body + b"\0" * 40, body, body + b"\0" * 40, body + b"\0" * 20]
+    at, start, end = suffixes.repeated_spans(suffixes_, [b""] * 4, np.zeros(4, np.int64))
+    assert list(zip(at, start, end)) == [(2, 0, 100)]
+
+
 def test_kept_bytes(docs):
     p = "".join(random.Random(8).choice("abcdefgh ") for _ in range(180))
     got = {r["doc_id"]: r["kept"] for r in suffixes.deduplicated(docs([(1, p), (2, "new " + p + " end")]), with_kept=True).collect()}
