@@ -1,10 +1,9 @@
 """Stupid-backoff scores of documents under trigram counts of the whole corpus, by joins of count tables.
 
-Words are lower-cased in ASCII; the `vocabulary` most frequent ones (ties by bytes) are numbered, all others
-share one number, and every document starts with two start marks, so that each word ends exactly one trigram.
-A trigram is one long: three digits of base vocabulary + 2.
+Words are lower-cased in ASCII and stand as 64-bit hashes, all of them: no vocabulary is cut or held anywhere.
+Every document starts with two start marks, so that each word ends exactly one trigram.
 
-    counts(code)  = occurrences of a trigram in the corpus; bigram, unigram and context counts are its sums
+    counts(u v w) = occurrences of a trigram in the corpus; bigram, unigram and context counts are its sums
     score(w|u v)  = c(u v w) / c(u v)                  if c(u v w) >= `least`
                     backoff * c(v w) / c(v)            else if c(v w) >= `least`
                     backoff^2 * c(w) / N               else
@@ -14,8 +13,11 @@ An n-gram seen once has no other evidence than the scored place itself, hence `l
 
 Count tables are aggregates over all documents, hash-partitioned by n-gram and written once; each distinct
 trigram gets its score there, so the documents' trigrams (distinct per document, with their frequency) are
-shuffled once for the join and summed per document. A trigram that every document has is one key of a join
-that adaptive execution splits. The only thing that reaches the driver is the vocabulary, bounded by its size.
+shuffled once for the join and summed per document. A word or trigram that every document has is one key of a
+join that adaptive execution splits. Hashes of words and trigrams are taken for equality at 64 bits.
+
+On request only the `vocabulary` most frequent words (ties by bytes) keep their identity and all others are one
+word: that is the closed-vocabulary form, whose words reach the driver. Its size in the SQL form is VOCABULARY.
 
 Defined results: null, empty and blank texts have no words, score 0 and no mean; null ids stay null; rows that
 share an id are scored one by one, equal rows get equal scores (each counts in the corpus); an empty table
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from medley.llm.common import keyed, utf8, written
 VOCABULARY = 2048
 BACKOFF = 0.4
 LEAST = 2
+START, OTHER = 0, 1  # hashes of the start mark and, with a vocabulary, of all words outside it
+MEMO = 1 << 18  # words whose hashes a task keeps; does not change results
 
 
 def frequent_words(texts: DataFrame, size: int) -> list[bytes]:
@@ -54,74 +58,85 @@ def frequent_words(texts: DataFrame, size: int) -> list[bytes]:
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def trigrams(texts: DataFrame, words: list[bytes]) -> DataFrame:
-    """(k, tie, code, tf): the distinct trigrams of every document."""
-    base = len(words) + 2
-    number = {w: i for i, w in enumerate(words)}
-    other, start = len(words), len(words) + 1
-    schema = pa.schema([("k", pa.int64()), ("tie", pa.int64()), ("codes", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))])
+class WordHashes(dict):
+    """64-bit hash of every word, kept for the words seen last."""
+
+    def __init__(self, known: frozenset[bytes] | None) -> None:
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        if self.known is not None and word not in self.known:
+            return OTHER
+        if len(self) >= MEMO:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return out
+
+
+def trigrams(texts: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
+    """(k, tie, w1, w2, w3, tf): the distinct trigrams of every document."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("k", pa.int64()), ("tie", pa.int64()), ("w1", longs), ("w2", longs), ("w3", longs), ("tf", pa.list_(pa.int32()))])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(known)
         for batch in it:
-            codes, tfs = [], []
+            found: list[list[np.ndarray]] = [[], [], [], []]
             for text in utf8(batch, "text"):
                 split = text.lower().split()
-                w = np.fromiter(map(number.get, split, repeat(other)), np.int64, len(split))
-                w = np.concatenate([[start, start], w])
-                code, tf = np.unique((w[:-2] * base + w[1:-1]) * base + w[2:], return_counts=True)
-                codes.append(code)
-                tfs.append(tf.astype(np.int32))
+                w = np.fromiter(map(hashes.__getitem__, split), np.int64, len(split))
+                # Places in the document's own list of words stand for words, so that a trigram is one number.
+                words, at = np.unique(np.concatenate([[START, START], w]), return_inverse=True)
+                base = len(words)
+                code, tf = np.unique((at[:-2] * base + at[1:-1]) * base + at[2:] if base < 1 << 20 else _codes(at), return_counts=True, axis=0)
+                parts = (code // (base * base), code // base % base, code % base) if code.ndim == 1 else code.T
+                for column, part in zip(found, parts):
+                    column.append(words[part])
+                found[3].append(tf.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("tie"), pa.array(codes, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))], schema=schema
+                [batch.column("k"), batch.column("tie"), *(pa.array(c, longs) for c in found[:3]), pa.array(found[3], pa.list_(pa.int32()))], schema=schema
             )
 
-    packed = texts.select("k", "tie", "text").mapInArrow(rows, "k long, tie long, codes array<long>, tfs array<int>")
-    return packed.select("k", "tie", F.explode(F.arrays_zip("codes", "tfs")).alias("g")).select("k", "tie", F.col("g.codes").alias("code"), F.col("g.tfs").alias("tf"))
+    packed = texts.select("k", "tie", "text").mapInArrow(rows, "k long, tie long, w1 array<long>, w2 array<long>, w3 array<long>, tf array<int>")
+    return packed.select("k", "tie", F.explode(F.arrays_zip("w1", "w2", "w3", "tf")).alias("g")).select("k", "tie", "g.*")
 
 
-def trigram_scores(counts: DataFrame, base: int, backoff: float, least: int) -> DataFrame:
-    """(code, score): the log score of every trigram in the count table (code, c)."""
+def _codes(at: np.ndarray) -> np.ndarray:
+    return np.stack([at[:-2], at[1:-1], at[2:]], axis=1)
 
-    def total(by: Column, name: str) -> DataFrame:
-        return counts.groupBy(by.alias(name)).agg(F.sum("c").alias(f"c_{name}"))
 
-    code = F.col("code")
-    pair, first, last = F.pmod(code, F.lit(base * base)), F.expr(f"code div {base}"), F.pmod(code, F.lit(base))
-    middle = F.expr(f"pmod(code, {base * base}) div {base}")
+def trigram_scores(counts: DataFrame, backoff: float, least: int) -> DataFrame:
+    """(code, score): the log score of every trigram in the count table (w1, w2, w3, c)."""
+    code = F.xxhash64("w1", "w2", "w3").alias("code")
     n = counts.agg(F.sum("c")).first()[0] or 0
-    # Bounded by the vocabulary: tables by one word are broadcast, tables by two words are joined by shuffle.
-    by_pair = total(pair, "pair").withColumn("middle", F.expr(f"pair div {base}")).withColumn("last", F.pmod("pair", F.lit(base)))
-    by_pair = by_pair.join(F.broadcast(total(middle, "middle")), "middle").join(F.broadcast(total(last, "last")), "last")
-    by_pair = by_pair.select(
-        "pair",
-        F.when(F.col("c_pair") >= least, F.log(F.lit(backoff)) + F.log(F.col("c_pair") / F.col("c_middle")))
-        .otherwise(2 * F.log(F.lit(backoff)) + F.log(F.col("c_last") / F.lit(float(n))))
-        .alias("shorter"),
-    )
-    rows = counts.withColumn("pair", pair).withColumn("first", first)
-    return (
-        rows.join(by_pair, "pair")
-        .join(total(first, "first"), "first")
-        .select("code", F.when(F.col("c") >= least, F.log(F.col("c") / F.col("c_first"))).otherwise(F.col("shorter")).alias("score"))
-    )
+    pairs = written(counts.groupBy("w2", "w3").agg(F.sum("c").alias("c_pair")))
+    middles = pairs.groupBy("w2").agg(F.sum("c_pair").alias("c_middle"))
+    lasts = pairs.groupBy("w3").agg(F.sum("c_pair").alias("c_last"))
+    # Each pair needs only one of the two counts: of its first word if it is frequent, of its last one if not.
+    often = pairs.where(F.col("c_pair") >= least).join(middles, "w2").select("w2", "w3", (F.log(F.lit(backoff)) + F.log(F.col("c_pair") / F.col("c_middle"))).alias("shorter"))
+    seldom = pairs.where(F.col("c_pair") < least).join(lasts, "w3").select("w2", "w3", (2 * F.log(F.lit(backoff)) + F.log(F.col("c_last") / F.lit(float(n)))).alias("shorter"))
+    # The same for trigrams: frequent ones need their context's count, the others the score of their last two words.
+    contexts = counts.groupBy("w1", "w2").agg(F.sum("c").alias("c_first"))
+    long = counts.where(F.col("c") >= least).join(contexts, ["w1", "w2"]).select(code, F.log(F.col("c") / F.col("c_first")).alias("score"))
+    short = counts.where(F.col("c") < least).join(often.unionByName(seldom), ["w2", "w3"]).select(code, F.col("shorter").alias("score"))
+    return long.unionByName(short)
 
 
 def scored(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = None,
     backoff: float = BACKOFF,
     least: int = LEAST,
 ) -> DataFrame:
     """doc_id, n_words, log_score and mean_score of every document."""
     rows = keyed(docs, id_col, text_col)
-    words = frequent_words(rows, vocabulary)
-    base = len(words) + 2
-    grams = trigrams(rows, words)
-    counts = written(grams.groupBy("code").agg(F.sum("tf").alias("c")))
-    scores = written(trigram_scores(counts, base, backoff, least))
-    sums = grams.join(scores, "code").groupBy("k", "tie").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("score")).alias("total"))
+    code = F.xxhash64("w1", "w2", "w3").alias("code")
+    grams = trigrams(rows, None if vocabulary is None else frozenset(frequent_words(rows, vocabulary)))
+    counts = written(grams.groupBy("w1", "w2", "w3").agg(F.sum("tf").alias("c")))
+    scores = written(trigram_scores(counts, backoff, least))
+    sums = grams.select("k", "tie", code, "tf").join(scores, "code").groupBy("k", "tie").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("score")).alias("total"))
     copies = rows.groupBy("k", "tie").agg(F.count(F.lit(1)).alias("m"))  # equal rows fall into one sum
     sums = sums.join(copies, ["k", "tie"]).select("k", "tie", F.expr("n div m").alias("n"), (F.col("total") / F.col("m")).alias("total"))
     out = rows.select("k", "tie", "id").join(sums, ["k", "tie"], "left")

@@ -46,6 +46,16 @@ def test_scores_equal_plain_version(docs, edge_rows, sample, size):
     assert len(got) == len(want) and ngrams.scored(docs([])).count() == 0
 
 
+def test_default_keeps_every_word(docs, edge_rows):
+    """More distinct words than any small vocabulary holds: rare trigrams are counted, unknown ones stay apart."""
+    rare = [(i + 100, f"rare{i} pair{i} word{i} " * 2 + f"once{i} in{i} text{i}") for i in range(1000)]
+    rows = edge_rows + rare + [(5000, "rare7 pair7 word7"), (5001, "never seen before")]
+    got = sorted(((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in ngrams.scored(docs(rows)).collect()), key=lambda x: (x[0], x[1], x[2]))
+    want = sorted(((str(i), n, s) for i, n, s in plain_scores(rows, 10**9)), key=lambda x: (x[0], x[1], x[2]))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want))
+
+
 def posterior_rows(n=400):
     import random
 
