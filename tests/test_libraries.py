@@ -226,6 +226,22 @@ def test_density_finds_planted_clusters_and_noise(spark):
     assert {c for c in by_label[0] + by_label[1] + by_label[2] if c >= 0} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("clusters", [20, 600])
+def test_density_finds_neighbours_at_every_number_of_clusters(spark, clusters):
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(clusters, 20)) * 6, 20, axis=0) + r.normal(size=(clusters * 20, 20))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<double>")
+    found = {(p.a, p.b) for p in density.candidate_links(points, 5).collect()}
+    hits = 0
+    for i, v in enumerate(x):
+        square = ((x - v) ** 2).sum(axis=1)
+        square[i] = np.inf
+        hits += sum((min(i, j), max(i, j)) in found for j in np.argpartition(square, 5)[:5].tolist())
+    recall = hits / (5 * len(x))
+    print("neighbour recall", clusters, recall)
+    assert recall >= 0.95
+
+
 def test_density_counts_copies(spark):
     data = [(i, Vectors.dense([float(i // 10), 0.0])) for i in range(30)] + [(30, Vectors.dense([50.0, 9.0]))]
     labels = {r.row: r.cluster_id for r in density.density_labels(spark.createDataFrame(data, ["row", "features"]), 5).collect()}
