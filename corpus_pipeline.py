@@ -29,7 +29,7 @@ MIX = {"clean": 0.97, "toxic": 0.03}
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken as often as their rate says; toxic ones are thinned out."""
+    """Documents taken as often as their rate says; toxic ones are thinned out, or repeated where they are below their share."""
     labels = domain_labels(spark, sf_dir).replace({"junk": "clean"}, subset=["domain"])
     return mixing.mixed(docs, labels, MIX)
 
