@@ -97,7 +97,7 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """Densified one-permutation signatures of non-empty sets."""
     out = np.zeros((len(sets), bins), np.uint64)
     full = np.zeros((len(sets), bins), bool)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), sizes)
     bin_ = ((every >> _u(32)) * _u(bins) >> _u(32)).astype(np.int64)

@@ -105,6 +105,7 @@ def test_zero_bytes_are_not_padding():
 
 
 def test_kept_bytes(docs):
-    p = "".join(random.Random(8).choice("abcdefgh ") for _ in range(180))
+    letters = random.Random(8)
+    p = "".join(letters.choice("abcdefgh ") for _ in range(180))
     got = {r["doc_id"]: r["kept"] for r in suffixes.deduplicated(docs([(1, p), (2, "new " + p + " end")]), with_kept=True).collect()}
     assert got[1] == p.encode() and got[2].startswith(b"new") and got[2].endswith(b"end") and len(got[2]) < 12
