@@ -83,3 +83,15 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND lost <= 0.3e0 * word_bytes AS kept, CAST(lost AS BIGINT) AS lost_bytes
 FROM based
 """
+
+SQL["op11_residue_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+                  list_transform(embedding, lambda x: floor(256e0 * CAST(x AS DOUBLE))) AS c FROM embeddings
+           WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+met AS (SELECT a.vec_id AS a, b.vec_id AS b, a.l = b.l AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS s
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.c) = len(b.c) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT a, b, s FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+negatives AS (SELECT p.a, p.b AS p, p.s AS ps, m.b AS n, m.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY m.s DESC, m.b) AS r
+              FROM positives p JOIN met m ON m.a = p.a AND NOT m.same AND 30 * p.s <= 100 * m.s AND 100 * m.s <= 90 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM negatives WHERE r <= 10
+"""
