@@ -95,3 +95,19 @@ negatives AS (SELECT p.a, p.b AS p, p.s AS ps, m.b AS n, m.s AS ns, row_number()
               FROM positives p JOIN met m ON m.a = p.a AND NOT m.same AND 30 * p.s <= 100 * m.s AND 100 * m.s <= 90 * p.s)
 SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM negatives WHERE r <= 10
 """
+
+_terms = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op13_impact_search"] = f"""
+WITH d AS (SELECT doc_id, unnest({_terms.format(x=_low)}) AS t FROM documents),
+one AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+often AS (SELECT t, count(*) AS df FROM one GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000e0 * ln((2e0 * docs + 2e0) / (2e0 * df + 1e0))) AS BIGINT) AS w FROM often, total),
+measured AS (SELECT doc_id, 75 + (25 * n * docs) // words AS m FROM sizes, total),
+q AS (SELECT item_id, t, count(*) AS repeats FROM (SELECT item_id, unnest({_terms.format(x=_low)}) AS t FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, CAST(sum(repeats * (w * ((1000000000 * tf) // (1000 * tf + 12 * m)))) AS BIGINT) AS score
+           FROM q JOIN weights USING (t) JOIN one USING (t) JOIN measured USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from medley.llm import bpe, minhash, mixing, ngrams, personal, quality, quantised, residues, sharding, suffixes, wavelet
+from medley.llm import bpe, impacts, minhash, mixing, ngrams, personal, quality, quantised, residues, sharding, suffixes, wavelet
 from medley.llm.common import documents
 from medley.llm.oracle import SQL
 
@@ -92,3 +92,8 @@ def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return residues.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
