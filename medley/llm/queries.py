@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from medley.llm import bpe, impacts, minhash, mixing, ngrams, personal, quality, quantised, residues, sharding, suffixes, wavelet
+from medley.llm import bpe, impacts, minhash, mixing, neighbours, ngrams, personal, quality, quantised, residues, sharding, suffixes, wavelet
 from medley.llm.common import documents
 from medley.llm.oracle import SQL
 
@@ -94,6 +94,11 @@ def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residues.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op12_descent_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacts.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=20)
