@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -213,9 +214,15 @@ def test_silhouette_is_the_mean_over_rows(spark):
     assert got["label"] == pytest.approx(total / 5) and got["same"] is None
 
 
+def listed(vectors):
+    """Vectors as lists of their non-zero features."""
+    cells = F.transform(vector_to_array("features"), lambda x, i: F.struct(F.format_string("f%05d", i).alias("feature"), x.alias("value")))
+    return vectors.select("row", F.filter(cells, lambda c: c["value"] != 0).alias("cells"))
+
+
 def test_density_finds_planted_clusters_and_noise(spark):
     vectors = planted(spark, [25, 30, 40], spread=0.3, noise=6)
-    got = vectors.join(density.density_labels(vectors, 5), "row").collect()
+    got = vectors.join(density.density_labels(listed(vectors), 5), "row").collect()
     by_label = {}
     for r in got:
         by_label.setdefault(r.label, []).append(r.cluster_id)
@@ -230,7 +237,7 @@ def test_density_finds_planted_clusters_and_noise(spark):
 def test_density_finds_neighbours_at_every_number_of_clusters(spark, clusters):
     r = np.random.default_rng(4)
     x = np.repeat(r.normal(size=(clusters, 20)) * 6, 20, axis=0) + r.normal(size=(clusters * 20, 20))
-    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row long, vector array<double>")
+    points = listed(spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["row", "features"]))
     found = {(p.a, p.b) for p in density.candidate_links(points, 5).collect()}
     hits = 0
     for i, v in enumerate(x):
@@ -244,7 +251,7 @@ def test_density_finds_neighbours_at_every_number_of_clusters(spark, clusters):
 
 def test_density_counts_copies(spark):
     data = [(i, Vectors.dense([float(i // 10), 0.0])) for i in range(30)] + [(30, Vectors.dense([50.0, 9.0]))]
-    labels = {r.row: r.cluster_id for r in density.density_labels(spark.createDataFrame(data, ["row", "features"]), 5).collect()}
+    labels = {r.row: r.cluster_id for r in density.density_labels(listed(spark.createDataFrame(data, ["row", "features"])), 5).collect()}
     assert len({labels[i] for i in range(10)}) == 1 and len(labels) == 31 and labels[30] == -1
 
 
