@@ -16,9 +16,6 @@ trigram gets its score there, so the documents' trigrams (distinct per document,
 shuffled once for the join and summed per document. A word or trigram that every document has is one key of a
 join that adaptive execution splits. Hashes of words and trigrams are taken for equality at 64 bits.
 
-On request only the `vocabulary` most frequent words (ties by bytes) keep their identity and all others are one
-word: that is the closed-vocabulary form, whose words reach the driver. Its size in the SQL form is VOCABULARY.
-
 Defined results: null, empty and blank texts have no words, score 0 and no mean; null ids stay null; rows that
 share an id are scored one by one, equal rows get equal scores (each counts in the corpus); an empty table
 gives an empty table; other columns are ignored.
@@ -26,60 +23,38 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from medley.llm.common import keyed, utf8, written
 
-VOCABULARY = 2048
 BACKOFF = 0.4
 LEAST = 2
-START, OTHER = 0, 1  # hashes of the start mark and, with a vocabulary, of all words outside it
+START = 0  # hash of the start mark
 MEMO = 1 << 18  # words whose hashes a task keeps; does not change results
 
 
-def frequent_words(texts: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of all texts, counted batch by batch before the shuffle."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found: Counter[bytes] = Counter()
-            for text in utf8(batch, "text"):
-                found.update(text.lower().split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
-
-    counts = texts.select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
 class WordHashes(dict):
     """64-bit hash of every word, kept for the words seen last."""
 
-    def __init__(self, known: frozenset[bytes] | None) -> None:
-        self.known = known
-
     def __missing__(self, word: bytes) -> int:
-        if self.known is not None and word not in self.known:
-            return OTHER
         if len(self) >= MEMO:
             self.clear()
         out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
         return out
 
 
-def trigrams(texts: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
+def trigrams(texts: DataFrame) -> DataFrame:
     """(k, tie, w1, w2, w3, tf): the distinct trigrams of every document."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("k", pa.int64()), ("tie", pa.int64()), ("w1", longs), ("w2", longs), ("w3", longs), ("tf", pa.list_(pa.int32()))])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(known)
+        hashes = WordHashes()
         for batch in it:
             found: list[list[np.ndarray]] = [[], [], [], []]
             for text in utf8(batch, "text"):
@@ -126,14 +101,13 @@ def scored(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int | None = None,
     backoff: float = BACKOFF,
     least: int = LEAST,
 ) -> DataFrame:
     """doc_id, n_words, log_score and mean_score of every document."""
     rows = keyed(docs, id_col, text_col)
     code = F.xxhash64("w1", "w2", "w3").alias("code")
-    grams = trigrams(rows, None if vocabulary is None else frozenset(frequent_words(rows, vocabulary)))
+    grams = trigrams(rows)
     counts = written(grams.groupBy("w1", "w2", "w3").agg(F.sum("tf").alias("c")))
     scores = written(trigram_scores(counts, backoff, least))
     sums = grams.select("k", "tie", code, "tf").join(scores, "code").groupBy("k", "tie").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("score")).alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from medley.llm.ngrams import BACKOFF, LEAST, VOCABULARY
+from medley.llm.ngrams import BACKOFF, LEAST
 from medley.llm.quality import BOILERPLATE, MIN_WORDS
 
 SQL: dict[str, str] = {}
@@ -39,9 +39,7 @@ FROM e JOIN roots ON v = vec_id LEFT JOIN counts ON a = vec_id
 
 SQL["op5_backoff_scores"] = rf"""
 WITH split AS (SELECT doc_id, regexp_extract_all({_low}, '[^{SPACE}]+') AS w FROM documents),
-one AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
-known AS (SELECT word FROM one GROUP BY word ORDER BY count(*) DESC, encode(word) LIMIT {VOCABULARY}),
-coded AS (SELECT doc_id, i, coalesce(known.word, ' other') AS w3 FROM one LEFT JOIN known USING (word)),
+coded AS (SELECT doc_id, unnest(w) AS w3, generate_subscripts(w, 1) AS i FROM split),
 grams AS (SELECT doc_id, w3, lag(w3, 1, ' start') OVER o AS w2, lag(w3, 2, ' start') OVER o AS w1 FROM coded WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 c3 AS (SELECT w1, w2, w3, count(*) AS c FROM grams GROUP BY ALL),
 x3 AS (SELECT w1, w2, sum(c) AS x FROM c3 GROUP BY ALL),

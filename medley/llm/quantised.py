@@ -16,11 +16,12 @@ Work is dealt by (list, block, block): lists are cut in blocks of about `BLOCK`
 copies of any size is spread over many bounded groups. A group returns link counts per vector and a spanning
 forest of its links, never all pairs. Equal vectors are one vector with a multiplicity.
 
-Defined results: vectors that are null, empty, zero, of another length than most (the commonest length), or hold
-null or non-finite components link with nothing; null ids are the smallest id and come back as null; rows
-that share an id are one vertex of the components and count as separate rows in n_links; equal rows get equal
-results; an empty table gives an empty table; other columns are ignored. Distinct vectors are told apart by a
-64-bit hash. No pair is lost unless a smaller `slack` is given.
+Every length of vectors has an index of its own, fitted on at most `sample` of them; lists are numbered on.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
+vectors of different lengths; null ids are the smallest id and come back as null; rows that share an id are one
+vertex of the components and count as separate rows in n_links; equal rows get equal results; an empty table gives
+an empty table; other columns are ignored. No pair is lost unless a smaller `slack` is given.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class Index:
 
 
 def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(usable rows, unit vectors in double precision)."""
+    """(usable rows, unit vectors in double precision) of one length."""
     column = batch.column("e").to_pylist()
     rows, out = [], []
     for i, e in enumerate(column):
@@ -143,11 +144,14 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(one: dict, two: dict | None, index: Index, home: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set numbers, partial link counts, forest roots) of a group; without `two` the pairs inside `one`."""
+def _links(one: dict, two: dict | None, index: Index, first: int, home: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set numbers, partial link counts, forest roots) of a group of list `home`; without `two` the pairs inside `one`.
+
+    `first` is the number of the index's first list.
+    """
     other = one if two is None else two
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    near = np.sqrt(index.table_distances(one["unit"], home, other["codes"])) <= reach + other["error"][None, :]
+    near = np.sqrt(index.table_distances(one["unit"], home - first, other["codes"])) <= reach + other["error"][None, :]
     if two is None:
         near = np.triu(near | near.T, 1)
     else:
@@ -184,32 +188,34 @@ def near_vectors(
     if slack is None:
         slack = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.col(vector_col).cast("array<double>").alias("e"))
-    rows = rows.withColumn("s", F.xxhash64("e"))
-    common = rows.where("size(e) > 0").groupBy(F.size("e").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    width = common[0]["w"] if common else 1
-    distinct = rows.where(F.size("e") == width).groupBy("s").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("mult"), F.first("e").alias("e"))
-    distinct = written(distinct)
-
-    chosen = distinct.orderBy(F.xxhash64("s", F.lit(7)), "s").limit(sample).select("e").toArrow().to_batches()
-    parts = [_unit(b, width)[1] for b in chosen if b.num_rows]
-    x = np.concatenate(parts) if parts else np.zeros((0, width))
-    if not len(x):
-        x = np.zeros((1, width))
-    index = Index(x, int(np.ceil(np.sqrt(max(1, distinct.count())))))
+    distinct = rows.where(F.size("e") > 0).groupBy("e").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("mult"))
+    distinct = written(distinct.withColumn("s", F.monotonically_increasing_id()))  # numbers are fixed once written
+    rows = written(rows.join(distinct.select("e", "s"), "e", "left").select("k", "s"))
+
+    indexes: dict[int, tuple[Index, int]] = {}
+    first = 0
+    for width, n in sorted(map(tuple, distinct.groupBy(F.size("e")).count().collect())):
+        chosen = distinct.where(F.size("e") == width).orderBy(F.xxhash64("s", F.lit(7)), "s").limit(sample).select("e").toArrow().to_batches()
+        x = np.concatenate([np.zeros((0, width)), *(_unit(b, width)[1] for b in chosen if b.num_rows)])
+        indexes[width] = Index(x if len(x) else np.zeros((1, width)), int(np.ceil(np.sqrt(n)))), first
+        first += len(indexes[width][0].centres)
 
     def entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # In slices, so that distances to all centres stay small.
         for batch in (whole.slice(i, 1000) for whole in it for i in range(0, whole.num_rows, 1000)):
-            at, unit = _unit(batch, width)
-            if not len(at):
-                continue
-            home, codes, error = index.encode(unit)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("s").take(take), batch.column("mult").take(take), pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                 pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(index.visited(unit, home, slack), pa.list_(pa.int32()))],
-                schema=_entry,
-            )
+            for width in {len(e) for e in batch.column("e")}:
+                at, unit = _unit(batch, width)
+                if not len(at):
+                    continue
+                index, begin = indexes[width]
+                home, codes, error = index.encode(unit)
+                visits = [v + begin for v in index.visited(unit, home, slack)]
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("s").take(take), batch.column("mult").take(take), pa.array((home + begin).astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                     pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(visits, pa.list_(pa.int32()))],
+                    schema=_entry,
+                )
 
     indexed = written(distinct.select("s", "mult", "e").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s").mapInArrow(entries, ENTRY))
     # Blocks per list, from one row per list; visitors are cut likewise.
@@ -233,6 +239,7 @@ def near_vectors(
     def compare(table: pa.Table) -> pa.Table:
         home, bx, by = (table.column(c)[0].as_py() for c in ("list", "x", "y"))
         side = table.column("side").to_numpy()
+        width = len(table.column("unit")[0].as_py()) // 8
 
         def rows_of(mask: np.ndarray) -> dict:
             t = table.filter(pa.array(mask))
@@ -249,7 +256,7 @@ def near_vectors(
         if not len(one["s"]) or (two is not None and not len(two["s"])):
             s = n = root = np.zeros(0, np.int64)
         else:
-            s, n, root = _links(one, two, index, home, threshold)
+            s, n, root = _links(one, two, *indexes[width], home, threshold)
         return pa.table({"s": pa.array(s, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64())})
 
     met = written(inside.unionByName(hosts).unionByName(visit).groupBy("list", "x", "y").applyInArrow(compare, "s long, n long, root long"))
@@ -259,9 +266,9 @@ def near_vectors(
     info = sets.join(usable, "s").join(by_vector, "s", "left").select("s", "first", "mult", F.coalesce("n", F.lit(0)).alias("n"))
     edges = met.where("s != root").select("s", "root").distinct()
     edges = edges.join(sets.select("s", F.col("first").alias("a")), "s").join(sets.select(F.col("s").alias("root"), F.col("first").alias("b")), "root").select("a", "b")
-    own_rows = rows.where(F.size("e") == width).select("k", "s").join(info, "s")
+    own_rows = rows.join(info, "s")
     graph = components(edges.unionByName(own_rows.select(F.col("k").alias("a"), F.col("first").alias("b"))))
-    out = rows.select("k", F.when(F.size("e") == width, F.col("s")).alias("s")).join(info.select("s", "mult", "n"), "s", "left").join(graph, F.col("k") == F.col("v"), "left")
+    out = rows.join(info.select("s", "mult", "n"), "s", "left").join(graph, F.col("k") == F.col("v"), "left")
     out = out.select("k", F.coalesce(F.col("n") + F.col("mult") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "k").alias("root"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("k").alias("vec_id"), "n_links", real("root").alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))

@@ -13,12 +13,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 def plain(rows, threshold):
     unit = {}
     for at, (_, e) in enumerate(rows):
-        if e is None or len(e) != 16 or None in e or not np.isfinite(np.array(e, np.float64)).all() or not np.any(e):
+        if not e or None in e or not np.isfinite(np.array(e, np.float64)).all() or not np.any(e):
             continue
         x = np.array(e, np.float32).astype(np.float64)
         unit[at] = x / np.sqrt((x * x).sum())
     key = lambda i: -(2**63) if i is None else i
-    links = {at: [o for o in unit if o != at and unit[at] @ unit[o] >= threshold] for at in unit}
+    links = {at: [o for o in unit if o != at and len(unit[o]) == len(unit[at]) and unit[at] @ unit[o] >= threshold] for at in unit}
     root = {key(i): key(i) for i, _ in rows}
 
     def find(v):
@@ -45,6 +45,8 @@ def made(seed, n=300):
         rows.append((i, (np.array(base) + r.normal(size=16) * r.choice([0.0, 0.05, 0.15])).astype(np.float32).tolist()))
     rows += [(n, None), (n + 1, [0.0] * 16), (n + 2, []), (n + 3, [float("nan")] * 16), (n + 4, [None] * 16), (n + 5, [1.0] * 3), (n + 6, [float("inf")] * 16)]
     rows += [(n + 7, [x * 4 for x in rows[0][1]]), (5, rows[9][1]), (None, rows[3][1]), (None, rows[3][1]), (n + 8, [1e-30] * 16), (n + 9, [1e30] * 16)]
+    # Other lengths: copies and near copies among their own.
+    rows += [(n + 20 + i, [1.0, 2.0, 0.1 * (i % 4)]) for i in range(12)] + [(n + 40, [3.0]), (n + 41, [5.0]), (n + 42, [-3.0])]
     return rows
 
 
@@ -94,3 +96,11 @@ def test_empty_and_unusable(spark, docs):
     assert quantised.near_vectors(frame(spark, docs, [])).count() == 0
     rows = [(1, None), (2, []), (3, [0.0] * 16)]
     assert got(quantised.near_vectors(frame(spark, docs, rows))) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+
+
+def test_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    plain_ = frame(spark, docs, made(4, 60))
+    extra = plain_.withColumns({c: F.lit("clash") for c in ("k", "e", "s", "first", "mult", "n", "list", "unit", "visits", "side", "x", "root", "v")})
+    assert got(quantised.near_vectors(extra)) == got(quantised.near_vectors(plain_))
