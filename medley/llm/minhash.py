@@ -39,6 +39,7 @@ BANDS = 40
 MISS = 1e-9
 MEMO_WORDS = 400_000
 LANES = 8
+LEAD = 64  # keys of a set that its bucket rows carry; bounds their bytes, results do not depend on it
 
 _u = np.uint64
 _factors = [_u(int(x) | 1) for x in np.random.default_rng(5).integers(0, 2**64, SHINGLE, dtype=np.uint64)]
@@ -205,7 +206,7 @@ def _rare_buckets(active: DataFrame, full: DataFrame, percent: int) -> DataFrame
 
     With shingles ordered from the rarest, sets at the threshold share one among their first
     n - ceil(t n) + 1, and none that only one set has. So a set with fewer than t n shared shingles links
-    with nothing, and unlike sets with a common passage hardly ever meet. `prefix` holds the set's keys in order.
+    with nothing, and unlike sets with a common passage hardly ever meet. `lead` holds the first of the set's keys.
     """
     one = active.join(full, "s").select("s", F.explode("shingles").alias("t"))
     often = one.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -213,9 +214,9 @@ def _rare_buckets(active: DataFrame, full: DataFrame, percent: int) -> DataFrame
     sized = active.join(hits, "s").withColumn("c", F.size("ts"))
     take = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - c)")
     kept = sized.withColumn("take", take.cast("int")).where("take > 0")
-    listed = kept.withColumn("prefix", F.transform(F.slice("ts", F.lit(1), F.greatest("take", F.lit(0))), lambda x: x["t"]))
+    listed = kept.withColumn("prefix", F.transform(F.slice("ts", F.lit(1), F.greatest("take", F.lit(0))), lambda x: x["t"])).withColumn("lead", F.slice("prefix", 1, LEAD))
     # `c` counts the shared shingles from the bucket's own on: what two sets can have in common if it is their first.
-    return listed.select(F.posexplode("prefix").alias("i", "b"), "s", "k", "n", "weight", (F.col("c") - F.col("i")).alias("c"), "prefix").drop("i")
+    return listed.select(F.posexplode("prefix").alias("i", "b"), "s", "k", "n", "weight", (F.col("c") - F.col("i")).alias("c"), "lead").drop("i")
 
 
 def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,14 +244,14 @@ def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return links
         # Members outside the largest component become centres, some per bucket and round, each once.
         outside = members.where("root != most").groupBy("b", F.pmod("s", F.lit(width)).alias("lane"))
-        centres = outside.agg(F.max(F.struct("weight", "s", "n", "c", "root", "prefix")).alias("x"))
-        centres = written(centres.select("b", *(F.col(f"x.{c}").alias(f"c{c}") for c in ("s", "n", "c", "root", "prefix"))))
+        centres = outside.agg(F.max(F.struct("weight", "s", "n", "c", "root", "lead")).alias("x"))
+        centres = written(centres.select("b", *(F.col(f"x.{c}").alias(f"c{c}") for c in ("s", "n", "c", "root", "lead"))))
         least = F.least("c", "cc")
         pairs = members.join(centres, "b").where(
             (F.col("root") != F.col("croot"))
             & _size_fits(percent)
             & (100 * least >= percent * (F.col("n") + F.col("cn") - least))
-            & (F.element_at(F.array_intersect("prefix", "cprefix"), 1) == F.col("b"))  # each pair in one bucket only
+            & F.coalesce(F.get(F.array_intersect("lead", "clead"), 0) == F.col("b"), F.lit(True))  # once per pair that shares one of its first keys
         )
         found = written(_confirmed(pairs.select(*_pair("s", "cs")).distinct(), full, percent))
         done = centres.select(F.col("b").alias("cb"), "cs")

@@ -107,3 +107,16 @@ def test_components(spark, docs):
     frame = spark.createDataFrame(links + links[:9], "a long, b long").repartition(3)
     assert {x["v"]: x["root"] for x in components(frame).collect()} == want
     assert components(frame.where("a < 0")).count() == 0
+
+
+def test_very_long_near_copies(docs):
+    """Rows stay small for long texts: near copies of 200,000 words among copies of a part of them."""
+    r = random.Random(12)
+    words = [f"w{r.randrange(30_000)}" for _ in range(200_000)]
+    other = list(words)
+    for at in range(0, len(other), 400):
+        other[at] = "changed"
+    half = words[:100_000] + [f"v{r.randrange(30_000)}" for _ in range(100_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(half)), (4, " ".join(words[:100_000])), (5, " ".join(words[1000:]))]
+    rows = rows + [(10 + i, " ".join(words[i * 7 : i * 7 + 300])) for i in range(40)]
+    assert got(minhash.near_duplicates(docs(rows), percent=85)) == plain(rows, 85)
