@@ -61,9 +61,7 @@ def first_of_each(tracks: DataFrame, by_isrc: bool = True) -> DataFrame:
     """Rows in order, without those whose id or non-empty ISRC an earlier kept row already has.
 
     Columns pos, id, isrc. Only the first row of every (id, ISRC) can be kept, so copies collapse in
-    one aggregate. When every id has a single ISRC the answer is two such aggregates. Otherwise rows
-    are settled in rounds: keep those that come first for both keys, drop those that share a key
-    with a kept row, repeat.
+    one aggregate. When every id has a single ISRC the answer is two such aggregates, otherwise `_settled`.
     """
     rows = tracks.select("pos", ID, _isrc().alias("isrc"))
     if not by_isrc:
@@ -74,20 +72,77 @@ def first_of_each(tracks: DataFrame, by_isrc: bool = True) -> DataFrame:
         known = open_rows.where(F.col("isrc").isNotNull())
         best = known.groupBy("isrc").agg(F.min("pos").alias("pos"), F.min_by(ID, "pos").alias(ID)).select("pos", ID, "isrc")
         return best.unionByName(open_rows.where(F.col("isrc").isNull()))
-    kept = None
-    while not open_rows.isEmpty():
-        by_id = open_rows.groupBy(ID).agg(F.min("pos").alias("_first_id"))
-        by_code = open_rows.where(F.col("isrc").isNotNull()).groupBy("isrc").agg(F.min("pos").alias("_first_isrc"))
-        placed = open_rows.join(by_id, ID).join(by_code, "isrc", "left")
-        keep = (F.col("pos") == F.col("_first_id")) & (F.col("isrc").isNull() | (F.col("pos") == F.col("_first_isrc")))
-        now = materialized(placed.where(keep).select("pos", ID, "isrc"))
-        kept = now if kept is None else kept.unionByName(now)
-        open_rows = materialized(
-            open_rows.join(now.select(ID), ID, "left_anti").join(
-                now.where(F.col("isrc").isNotNull()).select("isrc"), "isrc", "left_anti"
-            ).select("pos", ID, "isrc")
-        )
-    return kept if kept is not None else rows
+    return _settled(open_rows)
+
+
+def _earlier(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows with the `pos` of the row before under the same key; rows without a key have none."""
+    keyed = materialized(running_number(rows.where(F.col(key).isNotNull()).select("pos", key), [key], "n"))
+    before = keyed.select(key, (F.col("n") + 1).alias("n"), F.col("pos").alias(out))
+    return rows.join(keyed.join(before, [key, "n"]).select("pos", out), "pos", "left")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """The rows (pos, id, isrc) that no earlier kept row shares a key with.
+
+    Say that after a row its id is taken (I) and its ISRC is taken (C). With a the I of the row before under its id and
+    b the C of the row before under its ISRC, false where there is none, the row is kept if neither holds, so
+
+        I = a or not b        C = b or not a
+
+    Once a or b is known, one of I and C is known too, and the other equals the missing input or its negation. Such
+    unary values point at what they depend on, and every round they take over where that points, so a chain of n
+    rows is settled in about log n rounds.
+    """
+    rows = materialized(_earlier(_earlier(rows, ID, "by_id"), "isrc", "by_isrc"))
+    # Values are numbered: twice a row's pos for I, one more for C.
+    waits = rows.select("pos", (F.col("by_id") * 2).alias("from_a"), (F.col("by_isrc") * 2 + 1).alias("from_b"))
+    none = F.lit(None).cast("boolean")
+    waits = waits.select("*", F.when(F.col("from_a").isNull(), False).otherwise(none).alias("a"), F.when(F.col("from_b").isNull(), False).otherwise(none).alias("b"))
+    waits = materialized(waits)
+    settled, pointers, recent = [], _pointing(waits).limit(0), _known(waits).limit(0)
+    while True:
+        # What is not known yet can only follow from what became known in this round or at the end of the last one.
+        told = _known(waits)
+        known = told.unionByName(recent)
+        pointers = pointers.unionByName(_pointing(waits))
+        direct, behind = known.selectExpr("var as source", "value as v1"), known.selectExpr("var as source2", "value as v2")
+        further = pointers.selectExpr("var as source", "source as source2", "negated as negated2")
+        met = pointers.join(direct, "source", "left").join(further, "source", "left").join(behind, "source2", "left")
+        value = F.coalesce(F.col("v1"), F.col("v2") != F.col("negated2")) != F.col("negated")
+        turned = F.col("negated") != F.coalesce("negated2", F.lit(False))
+        met = materialized(met.select("var", value.alias("value"), F.coalesce("source2", "source").alias("source"), turned.alias("negated")))
+        recent = met.where("value is not null").select("var", "value")
+        pointers = met.where("value is null").select("var", "source", "negated")
+        settled += [told, recent]
+        one, two = (told.unionByName(recent).selectExpr(f"var as from_{x}", f"value as v{x}") for x in "ab")
+        still = waits.where("a is null and b is null").join(one, "from_a", "left").join(two, "from_b", "left")
+        waits = materialized(still.select("pos", "from_a", "from_b", F.col("va").alias("a"), F.col("vb").alias("b")))
+        if pointers.isEmpty() and waits.isEmpty():
+            break
+    taken = settled[0]
+    for more in settled[1:]:
+        taken = taken.unionByName(more)
+    taken = materialized(taken.where("value").select("var"))
+    out = rows.join(taken, F.col("by_id") * 2 == F.col("var"), "left_anti").join(taken, F.col("by_isrc") * 2 + 1 == F.col("var"), "left_anti")
+    return out.select("pos", ID, "isrc")
+
+
+def _known(waits: DataFrame) -> DataFrame:
+    """(var, value): the I and C that follow from known inputs."""
+    a, b = F.col("a"), F.col("b")
+    i = F.when(a | ~b, True).when(~a & b, False)
+    c = F.when(b | ~a, True).when(~b & a, False)
+    both = F.array(F.struct((F.col("pos") * 2).alias("var"), i.alias("value")), F.struct((F.col("pos") * 2 + 1).alias("var"), c.alias("value")))
+    return waits.select(F.explode(both).alias("x")).select("x.*").where("value is not null")
+
+
+def _pointing(waits: DataFrame) -> DataFrame:
+    """(var, source, negated): the values that equal one missing input or its negation."""
+    i, c = F.col("pos") * 2, F.col("pos") * 2 + 1
+    by_b = waits.where("a is not null and b is null").select(F.when(F.col("a"), c).otherwise(i).alias("var"), F.col("from_b").alias("source"), (~F.col("a")).alias("negated"))
+    by_a = waits.where("b is not null and a is null").select(F.when(F.col("b"), i).otherwise(c).alias("var"), F.col("from_a").alias("source"), (~F.col("b")).alias("negated"))
+    return by_b.unionByName(by_a)
 
 
 def merge_groups(
@@ -96,7 +151,7 @@ def merge_groups(
     """One deduplicated group from the rows of the selected playlists, as batches of ids."""
     chosen = filter_membership(tracks, playlists)
     if chosen.isEmpty():
-        raise ValueError("No tracks matched the supplied playlist filters.")
+        raise ValueError("The chosen playlists hold no rows to merge.")
     sources = ", ".join(playlists) if playlists else "all playlists"
     kept = first_of_each(chosen, by_isrc).withColumn("group_name", F.lit(into))
     return batched_export(kept, ["group_name"], size).withColumn("description", F.lit(f"Merged from: {sources}."))

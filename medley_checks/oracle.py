@@ -434,7 +434,7 @@ _NULLS = {
 }
 _NULLS = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for kind, names in _NULLS.items() for name in names.split())
 _PLACE = "row_number() OVER (ORDER BY o_orderkey) AS pos,"
-SQL["A2_read_json"] = _ORDER_ROWS.format(pos="o_orderkey AS pos,", energy=_THIRD, nulls=_NULLS)
+SQL["A2_read_json"] = _ORDER_ROWS.format(pos=_PLACE, energy=_THIRD, nulls=_NULLS)
 SQL["A3_read_delimited"] = _ORDER_ROWS.format(pos=_PLACE, energy=_THIRD, nulls=_NULLS)
 SQL["A4_write_json"] = _ORDER_ROWS.format(pos="", energy="CAST(NULL AS DOUBLE)", nulls=_NULLS)
 SQL["A5_write_delimited"] = r"""
@@ -520,6 +520,19 @@ SELECT (SELECT count(*) - count(DISTINCT isrc) FROM items WHERE isrc IS NOT NULL
        (SELECT count(*) FROM {_OVERLAPS.format(t='0.9')}) AS playlist_overlaps
 """
 
+SQL["G5_first_wins_two_keys"] = """
+WITH RECURSIVE lines AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS spotify_id, CASE WHEN l_returnflag <> 'A' THEN l_suppkey || '-' || CAST(l_quantity AS INTEGER) END AS isrc,
+         min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+rounds AS (
+  SELECT pos, spotify_id, isrc, false AS kept FROM lines
+  UNION ALL
+  SELECT pos, spotify_id, isrc, keep FROM (
+    SELECT *, bool_or(keep) OVER (PARTITION BY spotify_id) AS id_taken, isrc IS NOT NULL AND bool_or(keep) OVER (PARTITION BY isrc) AS isrc_taken FROM (
+      SELECT *, pos = min(pos) OVER (PARTITION BY spotify_id) AND (isrc IS NULL OR pos = min(pos) OVER (PARTITION BY isrc)) AS keep FROM rounds WHERE NOT kept))
+  WHERE keep OR NOT (id_taken OR isrc_taken))
+SELECT pos, spotify_id, isrc FROM rounds WHERE kept
+"""
 SQL["E2_silhouette"] = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v, label FROM embeddings),
 sums AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(array_distance(a.v, b.v)) AS total, count(*) AS n
