@@ -110,19 +110,19 @@ def explode_memberships(tracks: DataFrame, keep: Sequence[str] = ()) -> DataFram
     )
 
 
-def implode_memberships(members: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Membership rows back to list columns.
+def implode_memberships(members: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Membership rows back to list columns, one row per item.
 
-    Every item gives one row per `chunk` memberships, numbered by `part`: one row for an ordinary
-    item, more for an item that is in very many groups, so that no row grows without bound.
-    Needs (spotify_id, m_idx) unique, m_idx counted from 0.
+    With `chunk` an item gives one row per so many memberships, numbered by `part`, so that the rows of items
+    in very many groups stay small. Needs (spotify_id, m_idx) unique, m_idx counted from 0.
     """
+    part = [] if chunk is None else [F.floor(F.col("m_idx") / chunk).alias("part")]
     return (
-        members.groupBy(ID, F.floor(F.col("m_idx") / chunk).alias("part"))
+        members.groupBy(ID, *part)
         .agg(F.array_sort(F.collect_list(F.struct("m_idx", "group_id", "group_name"))).alias("_m"))
         .select(
             ID,
-            "part",
+            *(["part"] if part else []),
             F.transform("_m", lambda m: m["group_id"]).alias("playlist_ids"),
             F.transform("_m", lambda m: m["group_name"]).alias("playlist_names"),
         )

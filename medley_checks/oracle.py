@@ -382,9 +382,8 @@ WITH {PULLED} SELECT spotify_id, {_FIRST} - 1 AS m_idx, group_id, group_name FRO
 """
 SQL["A9_library_lists"] = f"""
 WITH {PULLED}, placed AS (SELECT *, {_FIRST} - 1 AS m FROM pulled)
-SELECT spotify_id, CAST(m // 2 AS BIGINT) AS part, string_agg(group_id, '|' ORDER BY m) AS playlist_ids,
-       string_agg(group_name, '|' ORDER BY m) AS playlist_names
-FROM placed GROUP BY 1, 2
+SELECT spotify_id, string_agg(group_id, '|' ORDER BY m) AS playlist_ids, string_agg(group_name, '|' ORDER BY m) AS playlist_names
+FROM placed GROUP BY 1
 """
 SQL["A10_changed_groups"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d') END AS snapshot_id
