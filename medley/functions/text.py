@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Characters whose full case folding is one other character, those, and the foldings of several characters."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c != c.casefold()}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def fold(c: Column | str) -> Column:
-    """Case-insensitive form of a text: lower case, with the sharp s written as ss."""
+    """Case-insensitive form of a text: full Unicode case folding, which for ASCII texts is lower case."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    one, other, several = _foldings()
+    longer = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(f).alias("f")) for x, f in several.items()])
+    full = F.aggregate(longer, F.translate(c, one, other), lambda s, p: F.replace(s, p["x"], p["f"]))
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(full)
 
 
 def norm_text(c: Column | str) -> Column:

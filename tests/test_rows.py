@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,13 @@ def test_explode_and_implode_are_inverse_and_bounded(tracks):
     assert chunks == {("a", 0): ["P", "Q"], ("a", 1): ["R", "S"], ("a", 2): ["T"], ("b", 0): ["P"]}
 
 
+def test_folding_of_every_character(spark):
+    points = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    texts = [(i, "".join(points[i : i + 1000])) for i in range(0, len(points), 1000)]
+    got = spark.createDataFrame(texts, "i long, t string").select("i", fold("t").alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: t.casefold() for i, t in texts}
+
+
 def test_text_helpers(spark):
     assert one(spark, norm_text(F.lit("  A  b \tC\n"))) == "a b c"
     assert one(spark, fold(F.lit("STRAßE"))) == "strasse"
