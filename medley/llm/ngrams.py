@@ -11,10 +11,12 @@ Every document starts with two start marks, so that each word ends exactly one t
 
 An n-gram seen once has no other evidence than the scored place itself, hence `least` = 2.
 
-Count tables are aggregates over all documents, hash-partitioned by n-gram and written once; each distinct
-trigram gets its score there, so the documents' trigrams (distinct per document, with their frequency) are
-shuffled once for the join and summed per document. A word or trigram that every document has is one key of a
-join that adaptive execution splits. Hashes of words and trigrams are taken for equality at 64 bits.
+Documents are dealt into batches of about `BATCH` words, kept as rows of word numbers. Every batch sends each distinct
+n-gram of its documents once, as a 64-bit code with its counts as an ending and as a context, packed by ranges of the codes.
+The count tables are those ranges: a task adds up the counts of one range over all batches and answers every
+batch in the order it asked. The answers meet the batches again, where each word's n-grams are looked up, scored and
+summed per document. A frequent n-gram is one entry per batch, however many documents have it; ranges hold about
+`RANGE` entries, so no task grows. Codes are taken for equality at 64 bits.
 
 Defined results: null, empty and blank texts have no words, score 0 and no mean; null ids stay null; rows that
 share an id are scored one by one, equal rows get equal scores (each counts in the corpus); an empty table
@@ -28,95 +30,155 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from medley.llm.common import keyed, utf8, written
+from medley.llm.common import released, utf8, written
 
 BACKOFF = 0.4
 LEAST = 2
-START = 0  # hash of the start mark
 MEMO = 1 << 18  # words whose hashes a task keeps; does not change results
+BATCH, RANGE = 1 << 19, 1 << 20  # words of a batch, entries of a range; they do not change results
+
+_u = np.uint64
 
 
 class WordHashes(dict):
-    """64-bit hash of every word, kept for the words seen last."""
+    """64-bit hash of every word, kept for the words seen last; 0 stands for the start mark."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little") or 1
         return out
 
 
-def trigrams(texts: DataFrame) -> DataFrame:
-    """(k, tie, w1, w2, w3, tf): the distinct trigrams of every document."""
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("k", pa.int64()), ("tie", pa.int64()), ("w1", longs), ("w2", longs), ("w3", longs), ("tf", pa.list_(pa.int32()))])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _u(30))) * _u(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _u(27))) * _u(0x94D049BB133111EB)
+    return x ^ (x >> _u(31))
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Code of a sequence from that of its beginning and its last word."""
+    with np.errstate(over="ignore"):
+        return _mixed(a * _u(0x9E3779B97F4A7C15) + _mixed(b + _u(0x632BE59BD9B4E019)))
+
+
+_packed = pa.schema([
+    ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("numbers", pa.binary()), ("n", pa.int64()),
+])
+PACKED = "batch long, ids array<long>, sizes array<long>, words binary, numbers binary, n long"
+
+
+def _pack(batch: int, ids: list, sizes: list, hashes: list) -> pa.RecordBatch:
+    words, numbers = np.unique(np.concatenate([np.zeros(0, _u), *hashes]), return_inverse=True)
+    row = ([batch], [ids], [sizes], [words.tobytes()], [numbers.astype(np.int32).tobytes()], [sum(sizes)])
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _packed)], schema=_packed)
+
+
+def word_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per batch: its documents' ids and numbers of words, its distinct words, and all words as numbers of those."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
+        ids, sizes, found, held = [], [], [], 0
+        for whole in it:
+            for at in range(0, whole.num_rows, 200):
+                some = whole.slice(at, 200)
+                for i, text in zip(some.column("id").to_pylist(), utf8(some, "text")):
+                    split = text.lower().split()
+                    ids.append(i)
+                    sizes.append(len(split))
+                    found.append(np.fromiter(map(hashes.__getitem__, split), _u, len(split)))
+                    held += len(split) + 1
+                    if held >= BATCH:
+                        yield _pack(number, ids, sizes, found)
+                        number, ids, sizes, found, held = number + 1, [], [], [], 0
+        if ids:
+            yield _pack(number, ids, sizes, found)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, PACKED)
+
+
+class Grams:
+    """The n-gram codes at every word of a batch, and its distinct ones in order."""
+
+    def __init__(self, sizes: np.ndarray, words: bytes, numbers: bytes) -> None:
+        names = np.concatenate([np.zeros(1, _u), np.frombuffer(words, _u)])
+        at = np.frombuffer(numbers, np.int32).astype(np.int64) + 1
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        one, two = np.r_[0, at[:-1]], np.r_[0, 0, at[:-2]]
+        last, before, first = names[at], names[np.where(place > 0, one, 0)], names[np.where(place > 1, two[: len(at)], 0)]
+        self.word, self.context = _code(np.zeros(1, _u), last), _code(np.zeros(1, _u), before)
+        self.pair, self.pair_context = _code(self.context, last), _code(_code(np.zeros(1, _u), first), before)
+        self.triple = _code(self.pair_context, last)
+        ends, a = np.unique(np.concatenate([self.word, self.pair, self.triple]), return_counts=True)
+        contexts, b = np.unique(np.concatenate([self.context, self.pair_context]), return_counts=True)
+        self.codes = np.union1d(ends, contexts)
+        self.as_end, self.as_context = (np.zeros(len(self.codes), np.int64) for _ in range(2))
+        self.as_end[np.searchsorted(self.codes, ends)] = a
+        self.as_context[np.searchsorted(self.codes, contexts)] = b
+
+    def cuts(self, ranges: int) -> np.ndarray:
+        """Where each range of codes begins, and the end."""
+        inside = (self.codes >> _u(32)) * _u(ranges) >> _u(32)
+        return np.searchsorted(inside, np.arange(ranges + 1))
+
+
+def _asked(packed: DataFrame, ranges: int) -> DataFrame:
+    """(range, batch, codes, ends, contexts): the distinct n-grams of every batch by range, with their counts there."""
+    schema = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("codes", pa.binary()), ("ends", pa.binary()), ("contexts", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in it:
-            found: list[list[np.ndarray]] = [[], [], [], []]
-            for text in utf8(batch, "text"):
-                split = text.lower().split()
-                w = np.fromiter(map(hashes.__getitem__, split), np.int64, len(split))
-                # Places in the document's own list of words stand for words, so that a trigram is one number.
-                words, at = np.unique(np.concatenate([[START, START], w]), return_inverse=True)
-                base = len(words)
-                code, tf = np.unique((at[:-2] * base + at[1:-1]) * base + at[2:] if base < 1 << 20 else _codes(at), return_counts=True, axis=0)
-                parts = (code // (base * base), code // base % base, code % base) if code.ndim == 1 else code.T
-                for column, part in zip(found, parts):
-                    column.append(words[part])
-                found[3].append(tf.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("tie"), *(pa.array(c, longs) for c in found[:3]), pa.array(found[3], pa.list_(pa.int32()))], schema=schema
-            )
-
-    packed = texts.select("k", "tie", "text").mapInArrow(rows, "k long, tie long, w1 array<long>, w2 array<long>, w3 array<long>, tf array<int>")
-    return packed.select("k", "tie", F.explode(F.arrays_zip("w1", "w2", "w3", "tf")).alias("g")).select("k", "tie", "g.*")
-
-
-def _codes(at: np.ndarray) -> np.ndarray:
-    return np.stack([at[:-2], at[1:-1], at[2:]], axis=1)
-
-
-def trigram_scores(counts: DataFrame, backoff: float, least: int) -> DataFrame:
-    """(code, score): the log score of every trigram in the count table (w1, w2, w3, c)."""
-    code = F.xxhash64("w1", "w2", "w3").alias("code")
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    pairs = written(counts.groupBy("w2", "w3").agg(F.sum("c").alias("c_pair")))
-    middles = pairs.groupBy("w2").agg(F.sum("c_pair").alias("c_middle"))
-    lasts = pairs.groupBy("w3").agg(F.sum("c_pair").alias("c_last"))
-    # Each pair needs only one of the two counts: of its first word if it is frequent, of its last one if not.
-    often = pairs.where(F.col("c_pair") >= least).join(middles, "w2").select("w2", "w3", (F.log(F.lit(backoff)) + F.log(F.col("c_pair") / F.col("c_middle"))).alias("shorter"))
-    seldom = pairs.where(F.col("c_pair") < least).join(lasts, "w3").select("w2", "w3", (2 * F.log(F.lit(backoff)) + F.log(F.col("c_last") / F.lit(float(n)))).alias("shorter"))
-    # The same for trigrams: frequent ones need their context's count, the others the score of their last two words.
-    contexts = counts.groupBy("w1", "w2").agg(F.sum("c").alias("c_first"))
-    long = counts.where(F.col("c") >= least).join(contexts, ["w1", "w2"]).select(code, F.log(F.col("c") / F.col("c_first")).alias("score"))
-    short = counts.where(F.col("c") < least).join(often.unionByName(seldom), ["w2", "w3"]).select(code, F.col("shorter").alias("score"))
-    return long.unionByName(short)
-
-
-def scored(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    backoff: float = BACKOFF,
-    least: int = LEAST,
-) -> DataFrame:
+            for b, sizes, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("batch", "sizes", "words", "numbers"))):
+                g = Grams(np.array(sizes, np.int64), words, numbers)
+                cuts = g.cuts(ranges)
+                some = np.flatnonzero(np.diff(cuts))
+                parts = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (g.codes, g.as_end.astype(np.uint32), g.as_context.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), b), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], schema=schema)
+
+    return packed.select("batch", "sizes", "words", "numbers").mapInArrow(rows, "range int, batch long, codes binary, ends binary, contexts binary")
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The counts of a range over all batches, for every batch in the order of its codes."""
+    codes, ends, contexts = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("codes", _u), ("ends", np.uint32), ("contexts", np.uint32)))
+    _, at = np.unique(np.concatenate(codes), return_inverse=True)
+    cuts = np.cumsum([len(c) for c in codes])[:-1]
+    out = []
+    for counts in (ends, contexts):
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]  # exact below 2^53
+        out.append(pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary()))
+    return pa.table([table.column("range"), table.column("batch"), *out], names=["range", "batch", "ends", "contexts"])
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
     """doc_id, n_words, log_score and mean_score of every document."""
-    rows = keyed(docs, id_col, text_col)
-    code = F.xxhash64("w1", "w2", "w3").alias("code")
-    grams = trigrams(rows)
-    counts = written(grams.groupBy("w1", "w2", "w3").agg(F.sum("tf").alias("c")))
-    scores = written(trigram_scores(counts, backoff, least))
-    sums = grams.select("k", "tie", code, "tf").join(scores, "code").groupBy("k", "tie").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("score")).alias("total"))
-    copies = rows.groupBy("k", "tie").agg(F.count(F.lit(1)).alias("m"))  # equal rows fall into one sum
-    sums = sums.join(copies, ["k", "tie"]).select("k", "tie", F.expr("n div m").alias("n"), (F.col("total") / F.col("m")).alias("total"))
-    out = rows.select("k", "tie", "id").join(sums, ["k", "tie"], "left")
-    return out.select(
-        F.col("id").alias("doc_id"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce("total", F.lit(0.0)).alias("log_score"),
-        (F.col("total") / F.col("n")).alias("mean_score"),
-    )
+    spark = docs.sparkSession
+    packed = written(word_batches(docs, id_col, text_col))
+    total = packed.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-2 * total // RANGE))
+    counts = written(_asked(packed, ranges).groupBy("range").applyInArrow(_counted, "range int, batch long, ends binary, contexts binary"))
+    released(spark)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+
+    def score(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes = np.array(batch.column("sizes")[0].as_py(), np.int64)
+        g = Grams(sizes, batch.column("words")[0].as_py(), batch.column("numbers")[0].as_py())
+        answers = answers.sort_by("range")
+        ends, contexts = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in answers.column(c).to_pylist())]) for c in ("ends", "contexts"))
+        of = lambda counts, codes: counts[np.searchsorted(g.codes, codes)].astype(np.float64)
+        triple, pair = of(ends, g.triple), of(ends, g.pair)
+        long = np.log(triple / np.maximum(of(contexts, g.pair_context), 1))
+        middle = np.log(backoff) + np.log(np.maximum(pair, 1) / np.maximum(of(contexts, g.context), 1))
+        short = 2 * np.log(backoff) + np.log(of(ends, g.word) / max(total, 1))
+        s = np.where(triple >= least, long, np.where(pair >= least, middle, short))
+        sums = np.bincount(g.doc, s, minlength=len(sizes))
+        return pa.table([batch.column("ids").combine_chunks().flatten(), pa.array(sizes), pa.array(sums)], schema=schema)
+
+    out = packed.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    return out.withColumn("mean_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
