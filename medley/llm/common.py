@@ -7,6 +7,7 @@ sides split UTF-8 bytes and never decode.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,8 +32,10 @@ def written(df: DataFrame) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Have the driver forget finished steps now, so that Spark deletes their shuffle files before the next ones."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)  # the files go in the background
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

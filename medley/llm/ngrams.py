@@ -12,7 +12,8 @@ Every document starts with two start marks, so that each word ends exactly one t
 An n-gram seen once has no other evidence than the scored place itself, hence `least` = 2.
 
 Documents are dealt into batches of about `BATCH` words, kept as rows of word numbers. Every batch sends each distinct
-n-gram of its documents once, as a 64-bit code with its counts as an ending and as a context, packed by ranges of the codes.
+n-gram of its documents once, as a 64-bit code with its counts as an ending and as a context, packed by ranges of the codes
+in planes of bytes, which compress.
 The count tables are those ranges: a task adds up the counts of one range over all batches and answers every
 batch in the order it asked. The answers meet the batches again, where each word's n-grams are looked up, scored and
 summed per document. A frequent n-gram is one entry per batch, however many documents have it; ranges hold about
@@ -66,6 +67,15 @@ def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mixed(a * _u(0x9E3779B97F4A7C15) + _mixed(b + _u(0x632BE59BD9B4E019)))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: those of rising codes and of small counts are nearly constant and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 _packed = pa.schema([
     ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("numbers", pa.binary()), ("n", pa.int64()),
 ])
@@ -138,7 +148,7 @@ def _asked(packed: DataFrame, ranges: int) -> DataFrame:
                 g = Grams(np.array(sizes, np.int64), words, numbers)
                 cuts = g.cuts(ranges)
                 some = np.flatnonzero(np.diff(cuts))
-                parts = [[x[cuts[p] : cuts[p + 1]].tobytes() for p in some] for x in (g.codes, g.as_end.astype(np.uint32), g.as_context.astype(np.uint32))]
+                parts = [[_planes(x[cuts[p] : cuts[p + 1]]) for p in some] for x in (g.codes, g.as_end.astype(np.uint32), g.as_context.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), b), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], schema=schema)
 
     return packed.select("batch", "sizes", "words", "numbers").mapInArrow(rows, "range int, batch long, codes binary, ends binary, contexts binary")
@@ -146,13 +156,13 @@ def _asked(packed: DataFrame, ranges: int) -> DataFrame:
 
 def _counted(table: pa.Table) -> pa.Table:
     """The counts of a range over all batches, for every batch in the order of its codes."""
-    codes, ends, contexts = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("codes", _u), ("ends", np.uint32), ("contexts", np.uint32)))
+    codes, ends, contexts = ([_from_planes(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("codes", _u), ("ends", np.uint32), ("contexts", np.uint32)))
     _, at = np.unique(np.concatenate(codes), return_inverse=True)
     cuts = np.cumsum([len(c) for c in codes])[:-1]
     out = []
     for counts in (ends, contexts):
         total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]  # exact below 2^53
-        out.append(pa.array([x.tobytes() for x in np.split(total, cuts)], pa.binary()))
+        out.append(pa.array([_planes(x) for x in np.split(total, cuts)], pa.binary()))
     return pa.table([table.column("range"), table.column("batch"), *out], names=["range", "batch", "ends", "contexts"])
 
 
@@ -170,7 +180,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", back
         sizes = np.array(batch.column("sizes")[0].as_py(), np.int64)
         g = Grams(sizes, batch.column("words")[0].as_py(), batch.column("numbers")[0].as_py())
         answers = answers.sort_by("range")
-        ends, contexts = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in answers.column(c).to_pylist())]) for c in ("ends", "contexts"))
+        ends, contexts = (np.concatenate([np.zeros(0, np.int64), *(_from_planes(x, np.int64) for x in answers.column(c).to_pylist())]) for c in ("ends", "contexts"))
         of = lambda counts, codes: counts[np.searchsorted(g.codes, codes)].astype(np.float64)
         triple, pair = of(ends, g.triple), of(ends, g.pair)
         long = np.log(triple / np.maximum(of(contexts, g.pair_context), 1))
