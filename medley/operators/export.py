@@ -60,7 +60,7 @@ def _isrc() -> Column:
 def first_of_each(tracks: DataFrame, by_isrc: bool = True) -> DataFrame:
     """Rows in order, without those whose id or non-empty ISRC an earlier kept row already has.
 
-    Columns pos, id, isrc. Only the first row of every (id, ISRC) can be kept, so copies collapse in
+    Columns pos, id, isrc; `pos` is unique. Only the first row of every (id, ISRC) can be kept, so copies collapse in
     one aggregate. When every id has a single ISRC the answer is two such aggregates, otherwise `_settled`.
     """
     rows = tracks.select("pos", ID, _isrc().alias("isrc"))

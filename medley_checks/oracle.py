@@ -520,9 +520,10 @@ SELECT (SELECT count(*) - count(DISTINCT isrc) FROM items WHERE isrc IS NOT NULL
 """
 
 SQL["G5_first_wins_two_keys"] = """
-WITH RECURSIVE lines AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS spotify_id, CASE WHEN l_returnflag <> 'A' THEN l_suppkey || '-' || CAST(l_quantity AS INTEGER) END AS isrc,
-         min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+WITH RECURSIVE numbered AS (
+  SELECT l_orderkey * 10 + l_linenumber AS pos, min(CAST(l_partkey AS VARCHAR)) AS spotify_id,
+         min(CASE WHEN l_returnflag <> 'A' THEN l_suppkey || '-' || CAST(l_quantity AS INTEGER) END) AS isrc FROM lineitem GROUP BY 1),
+lines AS (SELECT min(pos) AS pos, spotify_id, isrc FROM numbered GROUP BY 2, 3),
 rounds AS (
   SELECT pos, spotify_id, isrc, false AS kept FROM lines
   UNION ALL
