@@ -12,8 +12,8 @@ Every document starts with two start marks, so that each word ends exactly one t
 An n-gram seen once has no other evidence than the scored place itself, hence `least` = 2.
 
 Documents are dealt into batches of about `BATCH` words, kept as rows of word numbers. Every batch sends each distinct
-n-gram of its documents once, as a 64-bit code with its counts as an ending and as a context, packed by ranges of the codes
-in planes of bytes, which compress.
+n-gram of its documents once, as a 64-bit code with its count and how often it ends a document, packed by ranges of the
+codes as compressed steps from code to code.
 The count tables are those ranges: a task adds up the counts of one range over all batches and answers every
 batch in the order it asked. The answers meet the batches again, where each word's n-grams are looked up, scored and
 summed per document. A frequent n-gram is one entry per batch, however many documents have it; ranges hold about
@@ -31,6 +31,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,7 +40,7 @@ from medley.llm.common import released, utf8, written
 BACKOFF = 0.4
 LEAST = 2
 MEMO = 1 << 18  # words whose hashes a task keeps; does not change results
-BATCH, RANGE = 1 << 19, 1 << 20  # words of a batch, entries of a range; they do not change results
+BATCH, RANGE = 1 << 20, 1 << 20  # words of a batch, entries of a range; they do not change results
 
 _u = np.uint64
 
@@ -68,12 +69,20 @@ def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes: those of rising codes and of small counts are nearly constant and compress."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Numbers as compressed planes of their bytes: those of steps between codes and of small counts are nearly constant."""
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
 
 
 def _from_planes(x: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=_u(0))
+
+
+def _sum_of_steps(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=_u)
 
 
 _packed = pa.schema([
@@ -84,7 +93,7 @@ PACKED = "batch long, ids array<long>, sizes array<long>, words binary, numbers
 
 def _pack(batch: int, ids: list, sizes: list, hashes: list) -> pa.RecordBatch:
     words, numbers = np.unique(np.concatenate([np.zeros(0, _u), *hashes]), return_inverse=True)
-    row = ([batch], [ids], [sizes], [words.tobytes()], [numbers.astype(np.int32).tobytes()], [sum(sizes)])
+    row = ([batch], [ids], [sizes], [_planes(_steps(words))], [_planes(numbers.astype(np.int32))], [sum(sizes)])
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _packed)], schema=_packed)
 
 
@@ -113,24 +122,39 @@ def word_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Grams:
-    """The n-gram codes at every word of a batch, and its distinct ones in order."""
+    """The distinct n-gram codes of a batch in order, their counts, and where those of every word stand.
+
+    Every n-gram is the context of the next word, but for the last ones of a document: its count as a context is
+    its count less `lasts`. The start marks count once per document that has words.
+    """
 
     def __init__(self, sizes: np.ndarray, words: bytes, numbers: bytes) -> None:
-        names = np.concatenate([np.zeros(1, _u), np.frombuffer(words, _u)])
-        at = np.frombuffer(numbers, np.int32).astype(np.int64) + 1
+        names = np.concatenate([np.zeros(1, _u), _sum_of_steps(_from_planes(words, _u))])
+        at = _from_planes(numbers, np.int32).astype(np.int64) + 1
+        n, begins = len(at), np.cumsum(sizes) - sizes
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        one, two = np.r_[0, at[:-1]], np.r_[0, 0, at[:-2]]
-        last, before, first = names[at], names[np.where(place > 0, one, 0)], names[np.where(place > 1, two[: len(at)], 0)]
-        self.word, self.context = _code(np.zeros(1, _u), last), _code(np.zeros(1, _u), before)
-        self.pair, self.pair_context = _code(self.context, last), _code(_code(np.zeros(1, _u), first), before)
-        self.triple = _code(self.pair_context, last)
-        ends, a = np.unique(np.concatenate([self.word, self.pair, self.triple]), return_counts=True)
-        contexts, b = np.unique(np.concatenate([self.context, self.pair_context]), return_counts=True)
-        self.codes = np.union1d(ends, contexts)
-        self.as_end, self.as_context = (np.zeros(len(self.codes), np.int64) for _ in range(2))
-        self.as_end[np.searchsorted(self.codes, ends)] = a
-        self.as_context[np.searchsorted(self.codes, contexts)] = b
+        inner = np.ones(n, bool)
+        inner[begins[sizes > 0]] = False
+        final = (begins + sizes - 1)[sizes > 0]
+        before = np.where(inner, np.r_[0, at][:n], 0)
+        single = _code(np.zeros(1, _u), names)
+        opening = _code(single[:1], names[:1])
+        pair = _code(single[before], names[at])
+        triple = _code(np.where(inner, np.r_[opening, pair][:n], opening), names[at])
+        times = np.concatenate([np.bincount(at, minlength=len(names)), [len(final)], np.ones(2 * n, np.int64)])
+        times[0] = len(final)
+        every = np.concatenate([single, opening, pair, triple])
+        order = np.argsort(every)
+        every = every[order]
+        new = np.r_[True, every[1:] != every[:-1]]
+        place = np.empty(len(every), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self.codes = every[new]
+        self.ends = np.bincount(place, times).astype(np.int64)
+        pairs = place[len(names) + 1 :][:n]
+        self.word, self.pair, self.triple = place[at], pairs, place[len(names) + 1 + n :]
+        self.context, self.pair_context = place[before], np.where(inner, np.r_[place[len(names)], pairs][:n], place[len(names)])
+        self.lasts = np.bincount(np.r_[self.word[final], self.pair[final]], minlength=len(self.codes))
 
     def cuts(self, ranges: int) -> np.ndarray:
         """Where each range of codes begins, and the end."""
@@ -139,8 +163,8 @@ class Grams:
 
 
 def _asked(packed: DataFrame, ranges: int) -> DataFrame:
-    """(range, batch, codes, ends, contexts): the distinct n-grams of every batch by range, with their counts there."""
-    schema = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("codes", pa.binary()), ("ends", pa.binary()), ("contexts", pa.binary())])
+    """(range, batch, codes, ends, lasts): the distinct n-grams of every batch by range, with their counts there."""
+    schema = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("codes", pa.binary()), ("ends", pa.binary()), ("lasts", pa.binary())])
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -148,22 +172,24 @@ def _asked(packed: DataFrame, ranges: int) -> DataFrame:
                 g = Grams(np.array(sizes, np.int64), words, numbers)
                 cuts = g.cuts(ranges)
                 some = np.flatnonzero(np.diff(cuts))
-                parts = [[_planes(x[cuts[p] : cuts[p + 1]]) for p in some] for x in (g.codes, g.as_end.astype(np.uint32), g.as_context.astype(np.uint32))]
+                codes = [_planes(_steps(g.codes[cuts[p] : cuts[p + 1]])) for p in some]
+                parts = [codes, *([_planes(x[cuts[p] : cuts[p + 1]]) for p in some] for x in (g.ends.astype(np.uint32), g.lasts.astype(np.uint32)))]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), b), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], schema=schema)
 
-    return packed.select("batch", "sizes", "words", "numbers").mapInArrow(rows, "range int, batch long, codes binary, ends binary, contexts binary")
+    return packed.select("batch", "sizes", "words", "numbers").mapInArrow(rows, "range int, batch long, codes binary, ends binary, lasts binary")
 
 
 def _counted(table: pa.Table) -> pa.Table:
     """The counts of a range over all batches, for every batch in the order of its codes."""
-    codes, ends, contexts = ([_from_planes(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("codes", _u), ("ends", np.uint32), ("contexts", np.uint32)))
+    codes = [_sum_of_steps(_from_planes(x, _u)) for x in table.column("codes").to_pylist()]
     _, at = np.unique(np.concatenate(codes), return_inverse=True)
     cuts = np.cumsum([len(c) for c in codes])[:-1]
     out = []
-    for counts in (ends, contexts):
-        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]  # exact below 2^53
+    for c in ("ends", "lasts"):
+        counts = np.concatenate([_from_planes(x, np.uint32) for x in table.column(c).to_pylist()])
+        total = np.bincount(at, counts).astype(np.int64)[at]  # exact below 2^53
         out.append(pa.array([_planes(x) for x in np.split(total, cuts)], pa.binary()))
-    return pa.table([table.column("range"), table.column("batch"), *out], names=["range", "batch", "ends", "contexts"])
+    return pa.table([table.column("range"), table.column("batch"), *out], names=["range", "batch", "ends", "lasts"])
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
@@ -172,7 +198,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", back
     packed = written(word_batches(docs, id_col, text_col))
     total = packed.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-2 * total // RANGE))
-    counts = written(_asked(packed, ranges).groupBy("range").applyInArrow(_counted, "range int, batch long, ends binary, contexts binary"))
+    counts = written(_asked(packed, ranges).groupBy("range").applyInArrow(_counted, "range int, batch long, ends binary, lasts binary"))
     released(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
@@ -180,12 +206,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", back
         sizes = np.array(batch.column("sizes")[0].as_py(), np.int64)
         g = Grams(sizes, batch.column("words")[0].as_py(), batch.column("numbers")[0].as_py())
         answers = answers.sort_by("range")
-        ends, contexts = (np.concatenate([np.zeros(0, np.int64), *(_from_planes(x, np.int64) for x in answers.column(c).to_pylist())]) for c in ("ends", "contexts"))
-        of = lambda counts, codes: counts[np.searchsorted(g.codes, codes)].astype(np.float64)
-        triple, pair = of(ends, g.triple), of(ends, g.pair)
-        long = np.log(triple / np.maximum(of(contexts, g.pair_context), 1))
-        middle = np.log(backoff) + np.log(np.maximum(pair, 1) / np.maximum(of(contexts, g.context), 1))
-        short = 2 * np.log(backoff) + np.log(of(ends, g.word) / max(total, 1))
+        ends, lasts = (np.concatenate([np.zeros(0, np.int64), *(_from_planes(x, np.int64) for x in answers.column(c).to_pylist())]) for c in ("ends", "lasts"))
+        followed = np.maximum(ends - lasts, 1)
+        triple, pair = ends[g.triple], ends[g.pair]
+        long = np.log(triple / followed[g.pair_context])
+        middle = np.log(backoff) + np.log(pair / followed[g.context])
+        short = 2 * np.log(backoff) + np.log(ends[g.word] / max(total, 1))
         s = np.where(triple >= least, long, np.where(pair >= least, middle, short))
         sums = np.bincount(g.doc, s, minlength=len(sizes))
         return pa.table([batch.column("ids").combine_chunks().flatten(), pa.array(sizes), pa.array(sums)], schema=schema)

@@ -43,6 +43,14 @@ def test_scores_equal_plain_version(docs, edge_rows, sample):
     assert len(got) == len(want) and ngrams.scored(docs([])).count() == 0
 
 
+def test_scores_over_many_ranges_and_batches(docs, sample, monkeypatch):
+    """Counts come from many ranges of codes and meet several batches, one of them without a word."""
+    rows = sample[:80] + [(2000 + i, x) for i, x in enumerate([None, "", " \n", "the", "the the the the"])] + sample[:5]
+    monkeypatch.setattr(ngrams, "RANGE", 50)
+    got = sorted((str(r["doc_id"]), r["n_words"], round(r["log_score"], 6)) for r in ngrams.scored(docs(rows).repartition(6)).collect())
+    assert got == sorted((str(i), n, round(s, 6)) for i, n, s in plain_scores(rows))
+
+
 def test_default_keeps_every_word(docs, edge_rows):
     """More distinct words than any small vocabulary holds: rare trigrams are counted, unknown ones stay apart."""
     rare = [(i + 100, f"rare{i} pair{i} word{i} " * 2 + f"once{i} in{i} text{i}") for i in range(1000)]
