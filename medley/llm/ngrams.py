@@ -41,6 +41,7 @@ BACKOFF = 0.4
 LEAST = 2
 MEMO = 1 << 18  # words whose hashes a task keeps; does not change results
 BATCH, RANGE = 1 << 20, 1 << 20  # words of a batch, entries of a range; they do not change results
+ALONE = 1024  # numbers from which on byte planes are compressed one by one
 
 _u = np.uint64
 
@@ -69,12 +70,25 @@ def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of their bytes: those of steps between codes and of small counts are nearly constant."""
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    """Numbers as compressed planes of their bytes: those of steps between codes and of small counts are nearly constant.
+
+    A plane of random bytes spoils the code table of its neighbours, so long arrays have every plane compressed alone.
+    """
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    if len(x) < ALONE:
+        return b"\0" + zstandard.compress(planes.tobytes(), 1)
+    parts = [zstandard.compress(p.tobytes(), 1) for p in planes]
+    return b"\1" + np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
 
 
 def _from_planes(x: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    size = np.dtype(kind).itemsize
+    if x[0]:
+        cuts = np.cumsum([1 + 4 * size, *np.frombuffer(x, np.uint32, size, 1)])
+        planes = b"".join(zstandard.decompress(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:]))
+    else:
+        planes = zstandard.decompress(x[1:])
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _steps(rising: np.ndarray) -> np.ndarray:
@@ -92,8 +106,11 @@ PACKED = "batch long, ids array<long>, sizes array<long>, words binary, numbers
 
 
 def _pack(batch: int, ids: list, sizes: list, hashes: list) -> pa.RecordBatch:
-    words, numbers = np.unique(np.concatenate([np.zeros(0, _u), *hashes]), return_inverse=True)
-    row = ([batch], [ids], [sizes], [_planes(_steps(words))], [_planes(numbers.astype(np.int32))], [sum(sizes)])
+    words, numbers, times = np.unique(np.concatenate([np.zeros(0, _u), *hashes]), return_inverse=True, return_counts=True)
+    often = np.argsort(-times)  # frequent words get small numbers, which compress
+    rank = np.empty(len(words), np.int32)
+    rank[often] = np.arange(len(words))
+    row = ([batch], [ids], [sizes], [_planes(words[often])], [_planes(rank[numbers])], [sum(sizes)])
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _packed)], schema=_packed)
 
 
@@ -129,7 +146,7 @@ class Grams:
     """
 
     def __init__(self, sizes: np.ndarray, words: bytes, numbers: bytes) -> None:
-        names = np.concatenate([np.zeros(1, _u), _sum_of_steps(_from_planes(words, _u))])
+        names = np.concatenate([np.zeros(1, _u), _from_planes(words, _u)])
         at = _from_planes(numbers, np.int32).astype(np.int64) + 1
         n, begins = len(at), np.cumsum(sizes) - sizes
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
