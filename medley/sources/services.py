@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from medley.operators.membership import number_memberships
 from medley.schema import ID, RAW_PAGE_SCHEMA
+from medley.sources.store import KeyedStore
 
 
 def normalize_playlists(raw: DataFrame) -> DataFrame:
@@ -36,6 +37,11 @@ def unchanged_groups(playlists: DataFrame, stored: DataFrame) -> DataFrame:
     return playlists.join(stored.select(ID, "snapshot_id").distinct(), [ID, "snapshot_id"], "left_semi")
 
 
+def changed_in_store(playlists: DataFrame, store: KeyedStore, force: bool = False) -> DataFrame:
+    """Playlists to pull, against a store keyed by id with a `snapshot_id`; only the buckets of these ids are read."""
+    return changed_groups(playlists, store.lookup(playlists), force)
+
+
 def release_year(release_date: Column) -> Column:
     """Year from the first four characters; null when unreadable or not after 1900."""
     year = F.substring(release_date, 1, 4).try_cast("int")

@@ -291,6 +291,9 @@ FROM events GROUP BY 1, 2
 """
 
 
+SQL["C7_stored_upsert"] = SQL["C7_upsert_lookup"]
+
+
 def libraries(files: str) -> str:
     """CTE `lib`: the lines of each return flag as one library, in file order, with occurrence numbers."""
     order = "".join(f" WHEN '{f}' THEN {i}" for i, f in enumerate(files))
@@ -389,6 +392,7 @@ SQL["A10_changed_groups"] = """
 SELECT CAST(o_orderkey AS VARCHAR) AS spotify_id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d') END AS snapshot_id
 FROM orders WHERE o_orderstatus = 'P' OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 """
+SQL["A10_changed_in_store"] = SQL["A10_changed_groups"]
 CLUSTERED = "clustered AS (SELECT p_partkey, CAST(NULLIF(floor(NULLIF(p_size, 50) / 10e0) - 1, 3) AS INTEGER) AS cluster_id FROM part)"
 SQL["A11_group_export"] = f"""
 WITH {CLUSTERED},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from medley import bindings as B
 from medley.functions import arrays, text
@@ -15,6 +15,7 @@ from medley.plans import commands
 from medley.plans.skew import materialized, temporary_path
 from medley.schema import AUDIO_FIELDS, ID, TRACK_FIELDS, TRACK_SCHEMA
 from medley.sources import lookups, services, tracks
+from medley.sources.store import KeyedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -231,6 +232,18 @@ def C7_upsert_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.upsert_lookup(events.where(F.col("ts") < cut).drop("ts"), events.where(F.col("ts") >= cut).drop("ts"))
 
 
+@query
+def C7_stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stored table that was filled, brought up to date and read again."""
+    events = _event_answers(spark, sf_dir)
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    path = temporary_path(spark)
+    stored = KeyedStore.create(spark, path)
+    stored.upsert(events.where(F.col("ts") < cut))
+    stored.upsert(events.where(F.col("ts") >= cut))
+    return KeyedStore(spark, path).read()
+
+
 def _merged(spark: SparkSession, sf_dir: str, inputs: str, metadata: str = "") -> DataFrame:
     out = merge.merge_libraries(
         [B.line_library(spark, sf_dir, f) for f in inputs], [B.line_library(spark, sf_dir, f) for f in metadata]
@@ -323,6 +336,18 @@ def A10_changed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.changed_groups(playlists, stored).select(ID, "snapshot_id")
 
 
+@query
+def A10_changed_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored with an older snapshot first, then the returned orders' playlists with their present one."""
+    playlists = services.normalize_playlists(B.raw_playlists(spark, sf_dir)).select(ID, "snapshot_id")
+    returned = B.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias(ID)).distinct()
+    schema = T.StructType.fromDDL(f"{ID} string, snapshot_id string, version long")
+    stored = KeyedStore.create(spark, temporary_path(spark), schema, keys=[ID])
+    stored.upsert(playlists.select(ID, F.lit("older").alias("snapshot_id"), F.lit(1).alias("version")))
+    stored.upsert(playlists.join(returned, ID).withColumn("version", F.lit(2)))
+    return services.changed_in_store(playlists, stored)
+
+
 # --- exports ---
 
 
