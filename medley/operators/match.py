@@ -8,6 +8,8 @@ from medley.functions.text import norm_text
 from medley.plans.skew import materialized
 from medley.schema import ID
 
+SHORT = 4096  # items with a word up to which all are met at once; results do not depend on it
+
 
 def _words(*texts: str) -> Column:
     parts = [F.split(norm_text(F.coalesce(F.col(t), F.lit(""))), " ") for t in texts]
@@ -17,7 +19,9 @@ def _words(*texts: str) -> Column:
 def _first_hits(queries: DataFrame, catalogue: DataFrame, fields: dict[str, str]) -> DataFrame:
     """First catalogue item (by pos) that holds, field by field, all words a query asks for.
 
-    A hit must hold every asked word, so each query is joined on the one that is rarest in its field.
+    A hit must hold every asked word, so each query is joined on the one that is rarest in its field. Where that
+    is a frequent word too, its items are met in blocks of rising pos, each as large as all before: a hit in a
+    block is the first one, and the query takes no part in the next.
     """
     def tagged(columns: list[str]) -> Column:
         return F.concat(*[_tag(c, str(i)) for i, c in enumerate(columns)])
@@ -29,18 +33,41 @@ def _first_hits(queries: DataFrame, catalogue: DataFrame, fields: dict[str, str]
         opened.groupBy("query")
         .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_w")).alias("_r"))
         .where("_r.n > 0")
-        .select("query", "_r._w")
+        .select("query", "_r._w", F.col("_r.n").alias("_n"))
     )
     holds = F.lit(True)
     for asked, held in fields.items():
         holds = holds & (F.size(F.array_except(asked, held)) == 0)
-    return (
-        queries.join(rarest, "query")
-        .join(index, "_w")
-        .where(holds)
-        .groupBy("query")
-        .agg(F.min(F.struct("pos", ID))[ID].alias(ID))
-    )
+
+    def first(some: DataFrame, items: DataFrame) -> DataFrame:
+        return some.join(items, "_w").where(holds).groupBy("query").agg(F.min(F.struct("pos", ID))[ID].alias(ID))
+
+    keyed = materialized(queries.join(rarest, "query"))
+    found = first(keyed.where(F.col("_n") <= SHORT), index)
+    left = keyed.where(F.col("_n") > SHORT)
+    if left.isEmpty():
+        return found
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = materialized(index.repartitionByRange(parts, "pos").sortWithinPartitions("pos"))  # a block is a few row groups
+    for block in _blocks(catalogue):
+        some = materialized(first(left, ordered.where(block)))
+        found = found.unionByName(some)
+        left = materialized(left.join(some.select("query"), "query", "left_anti"))
+        if left.isEmpty():
+            break
+    return found
+
+
+def _blocks(catalogue: DataFrame) -> list[Column]:
+    """Conditions that cut the items by pos into blocks, each about as large as all before; a few quantiles decide."""
+    share = max(SHORT / max(catalogue.count(), 1), 1e-3)
+    shares = []
+    while share < 1:
+        shares.append(share)
+        share *= 2
+    cuts = sorted(set(catalogue.approxQuantile("pos", shares, 5e-4))) if shares else []
+    at = F.col("pos").cast("double")
+    return [(F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b) for a, b in zip([None, *cuts], [*cuts, None])]
 
 
 def _tag(words: str, mark: str) -> Column:
