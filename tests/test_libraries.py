@@ -359,3 +359,30 @@ def test_hot_join_key_is_split_by_adaptive_execution(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def counted(spark, df, column):
+    """The frame with one column passed through a Python function, and the number of rows it has been called for."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(value):
+        calls.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(same, df.schema[column].dataType)(column)), calls
+
+
+def test_running_number_by_key_and_over_ranges(spark):
+    df = spark.range(2000).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("f"), F.col("id").alias("pos"))
+    by_key, over_ranges = (running_number(df, ["k", "f"], "n", by=["k"], most=most).collect() for most in (2000, 100))
+    assert len(by_key) == 2000 and sorted(by_key) == sorted(over_ranges)
+
+
+def test_merge_makes_its_input_rows_once(spark, tracks):
+    rnd = random.Random(3)
+    files = [random_library(rnd, 40) for _ in range(2)]
+    frames = [tracks(f) for f in files]
+    watched, calls = counted(spark, frames[0], "title")
+    got = as_rows(merge_libraries([watched, frames[1]]))
+    assert got == as_rows(merge_libraries(frames))
+    assert calls.value == 40
