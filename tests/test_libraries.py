@@ -17,6 +17,7 @@ from medley.operators.merge import merge_libraries
 from medley.plans import commands
 from medley.plans.skew import numbered_parts, running_number, top_per_group
 from medley.schema import MissingFeaturesError
+from medley.sources import services
 
 
 # --- merging ---
@@ -386,3 +387,14 @@ def test_merge_makes_its_input_rows_once(spark, tracks):
     got = as_rows(merge_libraries([watched, frames[1]]))
     assert got == as_rows(merge_libraries(frames))
     assert calls.value == 40
+
+
+def test_library_parses_its_pages_once(spark):
+    rows = spark.range(60).select(
+        (F.col("id") % 9).cast("string").alias("spotify_id"), F.col("id").alias("at"), F.col("id").cast("string").alias("group_id"), F.lit("g").alias("group_name"),
+        *[F.lit("x").alias(c) for c in services.ATTRIBUTES],
+    )
+    watched, calls = counted(spark, rows, "group_id")
+    items, members = services.collect_library(watched, ["at"])
+    assert items.count() == 9 and members.count() == 60 and calls.value == 60
+    assert sorted((r.spotify_id, r.m_idx, r.group_id) for r in members.collect()) == sorted((str(i % 9), i // 9, str(i)) for i in range(60))
