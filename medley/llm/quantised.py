@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from medley.llm.common import NULL_ID, written
@@ -93,11 +94,13 @@ class Index:
     def table_distances(self, x: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances from vectors to coded places of a list, summed from one table row per subspace."""
         rest = self.cut(x - self.centres[home])
-        out = np.zeros((len(x), len(codes)))
+        out = np.zeros((len(codes), len(x)))
         for s, c in enumerate(self.codes):
-            table = ((rest[:, s, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-            out += np.take(table, codes[:, s], axis=1)
-        return out
+            used, at = np.unique(codes[:, s], return_inverse=True)  # a list seldom holds all codes
+            part, c = rest[:, s], c[used]
+            table = (c**2).sum(axis=1)[:, None] + (part**2).sum(axis=1) - 2 * (c @ part.T)
+            out += table[at]
+        return np.maximum(out, 0).T
 
 
 def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +153,7 @@ def _links(one: dict, two: dict | None, index: Index, first: int, home: int, thr
     `first` is the number of the index's first list.
     """
     other = one if two is None else two
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6  # above what rounding adds to the root of a small square
     near = np.sqrt(index.table_distances(one["unit"], home - first, other["codes"])) <= reach + other["error"][None, :]
     if two is None:
         near = np.triu(near | near.T, 1)
@@ -243,10 +246,10 @@ def near_vectors(
 
         def rows_of(mask: np.ndarray) -> dict:
             t = table.filter(pa.array(mask))
-            later = [x or () for x in t.column("later").to_pylist()]
+            later = t.column("later").combine_chunks()
+            sizes = pc.fill_null(pc.list_value_length(later), 0).to_numpy()
             return {
-                "home": t.column("home").to_numpy(), "row": np.repeat(np.arange(len(later)), [len(x) for x in later]),
-                "visits": np.array([v for x in later for v in x], np.int64),
+                "home": t.column("home").to_numpy(), "row": np.repeat(np.arange(len(t)), sizes), "visits": later.flatten().to_numpy(),
                 "s": t.column("s").to_numpy(), "mult": t.column("mult").to_numpy(), "error": t.column("error").to_numpy(),
                 "codes": np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES),
                 "unit": np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, width),

@@ -104,3 +104,21 @@ def test_clashing_columns(spark, docs):
     plain_ = frame(spark, docs, made(4, 60))
     extra = plain_.withColumns({c: F.lit("clash") for c in ("k", "e", "s", "first", "mult", "n", "list", "unit", "visits", "side", "x", "root", "v")})
     assert got(quantised.near_vectors(extra)) == got(quantised.near_vectors(plain_))
+
+
+def test_table_distances_cost_no_more_than_the_codes_in_use():
+    """The distances of many visitors to few members equal those to the coded places, in memory of their own size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    index = quantised.Index(x, 20)
+    home, codes, _ = index.encode(x)
+    few = np.flatnonzero(home == 3)[:20]
+    tracemalloc.start()
+    got = index.table_distances(x, 3, codes[few])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    coded = index.centres[3] + np.concatenate([c[codes[few][:, s]] for s, c in enumerate(index.codes)], axis=1)
+    assert np.allclose(got, ((x[:, None] - coded) ** 2).sum(axis=2))
+    assert peak < 12 * x.nbytes  # a table over all codes is 256 * 8 numbers a visitor
