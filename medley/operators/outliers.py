@@ -26,14 +26,18 @@ from medley.schema import ID
 
 # Distances are compared and ranked at this many digits, above double rounding noise.
 DIGITS = 9
+# Genres of a group whose shares a row of the group may carry; does not change results.
+MOST_GENRES = 512
 
 
-def group_distances(members: DataFrame, weights: Weights = Weights()) -> DataFrame:
+def group_distances(members: DataFrame, weights: Weights = Weights(), most_genres: int = MOST_GENRES) -> DataFrame:
     """Distance of every membership row to the centroid of its group.
 
     Adds `n` (group rows), `usable` (the group has a feature) and `distance`. Every row is opened
     into one part per genre plus a part named '-' that carries the numeric columns, so that one
-    aggregate by (group, part) yields both the genre shares and the moments of the group.
+    aggregate by (group, part) yields both the genre shares and the moments of the group. While no
+    group has more than `most_genres` genres its shares go to its rows as one map, and rows stay
+    whole; beyond that rows meet the shares genre by genre.
     """
     fields = numeric_fields(members)
     label = [c for c in ("group_name",) if c in members.columns]
@@ -49,22 +53,24 @@ def group_distances(members: DataFrame, weights: Weights = Weights()) -> DataFra
         F.sum(F.expr("if(part = '-', null, cast(part_rows as double) * part_rows)")).alias("squares")
     )
     moments = finish_moments(totals.where("part = '-'"), fields, ["group_id"]).withColumnRenamed("n", "rows_")
-    cells = totals.select("group_id", "part", "part_rows").join(moments.join(squares, "group_id"), "group_id")
     numeric = " + ".join(f"power(coalesce({weighted_sql(c, weights)}, 0D), 2)" for c in fields) or "0D"
     weight = float(weights.genre) ** 2
     whole = f"{numeric} + {weight!r}D * coalesce(squares, 0D) / (cast(rows_ as double) * rows_)"
     own = f"{weight!r}D * (1D - 2D * (cast(part_rows as double) / rows_))"
     usable = " or ".join(["squares is not null", *[f"{c}_mean is not null" for c in fields]])
-    return (
-        parts.join(cells, ["group_id", "part"])
-        .selectExpr(*key, "rows_", f"{usable} as usable_", f"if(part = '-', {whole}, {own}) as piece")
-        .groupBy(*key)
-        .agg(
-            F.max("rows_").alias("n"),
-            F.max("usable_").alias("usable"),
-            F.expr("sqrt(greatest(sum(piece), 0D)) as distance"),
-        )
-    )
+    scopes = moments.join(squares, "group_id")
+    if (totals.groupBy("group_id").count().agg(F.max("count")).first()[0] or 0) <= most_genres:
+        entry = F.when(F.col("part") != "-", F.struct("part", F.expr("cast(part_rows as double)").alias("part_rows")))
+        lists = totals.groupBy("group_id").agg(F.map_from_entries(F.collect_list(entry)).alias("shares"))
+        rows = members.select(*key, *fields, genres.alias("parts")).join(scopes.join(lists, "group_id"), "group_id")
+        pieces = f"aggregate(parts, 0D, (sum, part) -> sum + {own.replace('part_rows', 'element_at(shares, part)')})"
+        return rows.selectExpr(*key, "rows_ as n", f"{usable} as usable", f"sqrt(greatest({whole} + {pieces}, 0D)) as distance")
+    place = ["group_id", "pos", "m_idx"]
+    cells = totals.select("group_id", "part", "part_rows").join(moments.select("group_id", "rows_"), "group_id")
+    carried = members.select(*place, F.explode(genres).alias("part")).join(cells, ["group_id", "part"])
+    pieces = carried.selectExpr(*place, f"{own} as piece").groupBy(*place).agg(F.sum("piece").alias("piece"))
+    rows = members.select(*key, *fields).join(scopes, "group_id").selectExpr(*key, "rows_ as n", f"{usable} as usable", f"{whole} as whole")
+    return rows.join(pieces, place, "left").selectExpr(*key, "n", "usable", "sqrt(greatest(whole + coalesce(piece, 0D), 0D)) as distance")
 
 
 _COMPARABLE = "(n >= 3 and usable)"
