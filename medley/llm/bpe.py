@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from medley.llm.common import batches, utf8
+from medley.llm.common import batches, only, utf8
 from medley.llm.wordpieces import MEMO_WORDS, SUFFIX, WordEncoder, WordSplitter
 
 END = float("inf")
@@ -125,7 +125,10 @@ class TrieEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder with its memo for each Python worker."""
-    return WordEncoder(WordSplitter(path), TrieEncoder(path).encode)
+    trie = TrieEncoder(path)
+    made = WordEncoder(WordSplitter(path), trie.encode)
+    made.memos = [made.memo, trie._apart]
+    return made
 
 
 class Decoder(dict):
@@ -153,13 +156,19 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def coders(path: str) -> tuple[WordEncoder, Decoder]:
+    """Encoder and decoder, whose memos take the place of another operator's."""
+    only(*encoder(path).memos, decoder(path))
+    return encoder(path), decoder(path)
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit) and, on request, the decoded text of every document."""
     fields = [("doc_id", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.string())] * with_decoded
     schema = pa.schema(fields)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        ids = encoder(path).encode(utf8(batch, "text"))
+        ids = coders(path)[0].encode(utf8(batch, "text"))
         out = {"doc_id": batch.column("doc_id"), "ids": ids}
         if with_decoded:
             out["decoded"] = [decoder(path).decode(np.frombuffer(i, "<u4")).decode() for i in ids]
@@ -175,11 +184,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def rows(batch: pa.RecordBatch) -> dict:
         counts, ids, texts = [], [], []
-        for runs in encoder(path).runs(utf8(batch, "text")):
+        ahead, back = coders(path)
+        for runs in ahead.runs(utf8(batch, "text")):
             packed = b"".join(runs)
             counts.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
-            texts.append(hashlib.sha256(decoder(path).text(runs)).hexdigest())
+            texts.append(hashlib.sha256(back.text(runs)).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts}
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -71,6 +71,20 @@ def batches(schema: pa.Schema, fn: Callable[[pa.RecordBatch], dict]) -> Callable
     return run
 
 
+_in_use: list[dict] = []
+
+
+def only(*memos: dict) -> None:
+    """Empty the memos that this Python worker filled for other operators, so that it keeps those of one at a time.
+
+    Workers serve one stage after the other, and an idle one keeps what it holds.
+    """
+    for old in _in_use:
+        if not any(old is m for m in memos):
+            old.clear()
+    _in_use[:] = memos
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

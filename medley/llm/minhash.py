@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medley.llm.common import NULL_ID, utf8, written
+from medley.llm.common import NULL_ID, only, utf8, written
 from medley.llm.components import components
 
 SHINGLE = 5
@@ -81,6 +81,11 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    only(_words)
+    return [shingles(t) for t in texts]
+
+
 def band_rows(threshold: float, bands: int = BANDS) -> int:
     rows = 1
     while (1 - threshold ** (rows + 1)) ** bands <= MISS:
@@ -139,7 +144,7 @@ def _signed(docs: DataFrame, threshold: float, id_col: str, text_col: str, bands
         for whole in it:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sets = [shingles(t) for t in utf8(batch, "text")]
+                sets = shingle_sets(utf8(batch, "text"))
                 some = [i for i, s in enumerate(sets) if len(s)]
                 keys = band_keys([sets[i] for i in some], threshold, bands_).view(np.int64)
                 bands: list = [[]] * len(sets)
@@ -163,8 +168,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 1000) for whole in it for at in range(0, whole.num_rows, 1000)):
             numbers, found = [], []
-            for s, text in zip(batch.column("s").to_pylist(), utf8(batch, "text")):
-                one = shingles(text)
+            for s, one in zip(batch.column("s").to_pylist(), shingle_sets(utf8(batch, "text"))):
                 if _set_number(one) == s:  # rows that share an id may hold other texts
                     numbers.append(s)
                     found.append(one.view(np.int64))

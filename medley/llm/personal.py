@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from medley.llm.common import utf8
+from medley.llm.common import only, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MEMO_WORDS = 300_000
@@ -318,6 +318,7 @@ class Field:
 
     def tag(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """(word number, label) of all words that are not O, text by text."""
+        only(self.memo)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         places, runs = [], []

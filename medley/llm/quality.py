@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from medley.llm.common import batches, utf8
+from medley.llm.common import batches, only, utf8
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of page furniture.
@@ -143,6 +143,7 @@ def clean(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
 
     @F.pandas_udf("kept boolean, text string")
     def judged(texts: pd.Series) -> pd.DataFrame:
+        only()
         found = [judge((t or "").encode(), **limits) for t in texts]
         return pd.DataFrame({"kept": [r["kept"] for r in found], "text": [r["clean_text"].decode() for r in found]})
 

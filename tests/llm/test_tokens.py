@@ -128,3 +128,16 @@ def test_shards(docs, edge_rows, sample):
     by_number = [r["doc_id"] for r in sorted(got, key=lambda r: r["row_number"])]
     assert by_number[0] is None and by_number[1:] == sorted(by_number[1:])
     assert sharding.sharded(docs([]), shards=16).count() == 0
+
+
+def test_a_worker_keeps_the_memos_of_one_operator():
+    from medley.llm import minhash
+    from medley.llm.queries import vocabulary
+
+    ahead, back = bpe.coders(vocabulary())
+    [runs] = ahead.runs([b"some words here"])
+    assert back.text(runs) and ahead.memo and len(back)
+    assert len(minhash.shingle_sets([b"some other words"])[0]) == 1
+    assert not ahead.memo and not len(back) and minhash._words
+    bpe.coders(vocabulary())
+    assert not minhash._words
