@@ -4,9 +4,11 @@ A row's silhouette is (b - a) / max(a, b), with a its mean distance to the other
 of its mean distances to another cluster. Mean distances need every pair: the measure is defined on them, and no bound
 from cells is narrow enough beyond a few dimensions to stand for them. So the pairs are measured, all labellings at once,
 but none is ever a row of a table: rows with the same features and labels are one point with a weight, points are dealt
-into blocks, and a task takes two blocks, forms their distances by a matrix product, strip by strip, and gives back one
+into blocks, and a task takes two blocks, forms their distances by matrix products, tile by tile, and gives back one
 vector of sums per point, a cell per cluster. The work grows with the square of the distinct points, as in the definition;
-a task's memory and a row's size do not grow.
+a task's memory and a row's size do not grow. A point is sent to as many tasks as there are blocks, so blocks are as large
+as a task's memory allows: up to `PARTS` blocks of `CELLS` cells, what is shuffled grows with the points alone, and
+beyond with their square over the size of a block.
 """
 
 from __future__ import annotations
@@ -22,13 +24,20 @@ from pyspark.sql import DataFrame, functions as F
 from medley.functions.sparse import Rows
 from medley.plans.skew import materialized
 
-# Points of a block and of a strip; they bound a task's memory and do not change results.
-BLOCK, STRIP = 2048, 512
+# Most points and features of a block, the points of a tile's two sides, and how many blocks there are while they are
+# smaller than that; they bound a task's memory and do not change results.
+BLOCK, CELLS, STRIP, TILE, PARTS = 32768, 1 << 22, 512, 2048, 8
+
+
+def _blocks(points: int, cells: int) -> int:
+    """Into how many blocks so many points with so many features in all are dealt."""
+    return max(-(-points // BLOCK), -(-cells // CELLS), min(PARTS, -(-points // TILE)), 1)
 
 
 def _distance_sums(points: DataFrame, width: int) -> DataFrame:
     """(point, sums): for every point (point, weight, cells, at) its summed distances to each of `width` clusters."""
-    blocks = max(1, -(-points.count() // BLOCK))
+    size = points.agg(F.count(F.lit(1)).alias("points"), F.sum(F.size("cells").cast("long")).alias("cells")).first()
+    blocks = _blocks(size["points"], size["cells"] or 0)
     own = points.withColumn("x", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
     # Every pair of blocks meets once, the smaller number on side 0.
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -37,27 +46,34 @@ def _distance_sums(points: DataFrame, width: int) -> DataFrame:
 
     def clusters(table: pa.Table) -> np.ndarray:
         """Weights by cluster of every labelling."""
-        at = np.array(table.column("at").to_pylist(), np.int64).reshape(len(table), -1)
+        at = table.column("at").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
         out = np.zeros((len(table), width))
         out[np.arange(len(table))[:, None], at] = table.column("weight").to_numpy()[:, None]
         return out
 
+    def tiles(n: int, m: int, inside: bool) -> Iterator[tuple[int, int, int, int]]:
+        """Runs of the first n points with runs of the others, or of all points if they are one block."""
+        for far in range(0 if inside else n, m, TILE):
+            for low in range(0, n, STRIP):
+                yield low, min(low + STRIP, n), far, min(far + TILE, m)
+
     def meet(table: pa.Table) -> pa.Table:
         inside = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         table = table.sort_by("side")
         n = len(table) if inside else int((table.column("side").to_numpy() == 0).sum())
-        two = slice(None) if inside else slice(n, None)
         rows, weights = Rows(table.column("cells")), clusters(table)
         sums = np.zeros((len(table), width))
-        for low in range(0, n, STRIP):
-            strip = slice(low, min(low + STRIP, n))
-            d = np.sqrt(rows.squares(strip, two))
+        for low, high, far, end in tiles(n, len(table), inside):
+            strip, tile = slice(low, high), slice(far, end)
+            d = np.sqrt(rows.squares(strip, tile))
             if inside:
-                d[np.arange(len(d)), low + np.arange(len(d))] = 0.0  # not what rounding makes of it
-            sums[strip] += d @ weights[two]
+                same = np.arange(max(low, far), min(high, end))
+                d[same - low, same - far] = 0.0  # not what rounding makes of it
+            sums[strip] += d @ weights[tile]
             if not inside:
-                sums[two] += d.T @ weights[strip]
-        return pa.table([table.column("point"), pa.array(list(sums), schema.field("sums").type)], schema=schema)
+                sums[tile] += d.T @ weights[strip]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, width), pa.int32()), sums.ravel())
+        return pa.table([table.column("point"), lists.cast(schema.field("sums").type)], schema=schema)
 
     met = dealt.groupBy("x", "y").applyInArrow(meet, "point long, sums array<double>")
     total = met.groupBy("point").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))

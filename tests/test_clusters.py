@@ -80,3 +80,15 @@ def test_one_scan_per_iteration(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(tracker.getJobIdsForGroup("iteration")) <= 2  # the scan's stage and the aggregate's
     assert len(fits.centres) == sum(range(2, 13))
+
+
+def test_points_are_sent_to_few_tasks(spark, monkeypatch):
+    """How often a point is sent does not grow with the points while a block fits a task; tiles that cross give the same."""
+    assert [silhouette._blocks(n, 64 * n) for n in (100, 10_000, 50_000, 250_000)] == [1, 5, 8, 8]
+    assert silhouette._blocks(600_000, 64 * 600_000) == 19
+    assert silhouette._blocks(10_000, 10_000 * 4000) == 10  # blocks of as many features
+    for name, size in (("STRIP", 7), ("TILE", 10), ("PARTS", 2)):
+        monkeypatch.setattr(silhouette, name, size)
+    rng = np.random.default_rng(3)
+    x, labels = rng.normal(size=(83, 5)), rng.integers(0, 3, 83)
+    assert kmeans.silhouettes(frame(spark, x, labels), ["label"])["label"] == pytest.approx(plain_silhouette(x, labels), abs=1e-9)
