@@ -19,12 +19,27 @@ from medley.plans.skew import temporary_path
 NULL_ID = -(2**63)
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Rows that one task writes at least, when a frame is known to be small.
+TASK_ROWS = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """A frame of at most `rows` rows in as many tasks as these fill, and in one per core at least.
+
+    A task that writes a file costs far more than the few rows it may hold. Large frames stay as they are.
+    """
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_task))
+    return df.coalesce(tasks) if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def written(df: DataFrame, rows: int | None = None, per_task: int = TASK_ROWS) -> DataFrame:
     """Write a frame that several later steps read to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, keeps column pruning and real sizes. The folder is
-    deleted when Spark ends.
+    deleted when Spark ends. `rows` is a bound of the frame's rows, where one is known (`few_tasks`).
     """
+    df = df if rows is None else few_tasks(df, rows, per_task)
     path = temporary_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

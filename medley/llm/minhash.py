@@ -39,6 +39,7 @@ BANDS = 40
 MISS = 1e-9
 MEMO_WORDS = 400_000
 LANES = 8
+TASK_PAIRS = 5_000  # pairs or sets of texts that one task handles at least
 LEAD = 64  # keys of a set that its bucket rows carry; bounds their bytes, results do not depend on it
 
 _u = np.uint64
@@ -223,33 +224,36 @@ def _rare_buckets(active: DataFrame, full: DataFrame, percent: int) -> DataFrame
     return listed.select(F.posexplode("prefix").alias("i", "b"), "s", "k", "n", "weight", (F.col("c") - F.col("i")).alias("c"), "lead").drop("i")
 
 
-def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): enough links between sets to connect every component."""
+def _links(texts: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b): enough links between sets to connect every component; `most` bounds the bucket rows."""
     spark = sets.sparkSession
     rows = sets.select("s", "k", "n", F.explode("bands").alias("b"))
     shared = rows.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # A set that meets many others in its buckets is the likely origin of its copies: it becomes the centre.
     met = rows.join(shared, "b").groupBy("s").agg(F.sum("m").alias("weight"), F.collect_list("b").alias("bs"), F.first("k").alias("k"), F.first("n").alias("n"))
-    active = written(met.select(F.explode("bs").alias("b"), "s", "k", "n", "weight"))
-    full = written(_full_sets(texts, active.select("s", "k").distinct()).dropDuplicates(["s"]))
+    active = written(met.select(F.explode("bs").alias("b"), "s", "k", "n", "weight"), most)
+    most = active.count()
+    full = written(_full_sets(texts, active.select("s", "k").distinct()).dropDuplicates(["s"]), most, TASK_PAIRS)
 
     first = active.groupBy("b").agg(F.max(F.struct("weight", "s", "n")).alias("c")).select("b", F.col("c.s").alias("c"), F.col("c.n").alias("cn"))
     stars = active.join(first, "b").where((F.col("s") != F.col("c")) & _size_fits(percent)).select(*_pair("s", "c")).distinct()
-    links = written(_confirmed(stars, full, percent))
-    roots = components(links)
+    links = written(_confirmed(stars, full, percent), most, TASK_PAIRS)
+    known = links.count()
+    roots = components(links, known)
     placed = _rooted(active, roots)
     open_sets = placed.join(_unconnected(placed), "b").select("s", "k", "n", "weight").distinct()
-    rare = written(_rare_buckets(written(open_sets), full, percent))
+    rare = written(_rare_buckets(written(open_sets, most), full, percent))
     width = LANES
     while True:
         members = _rooted(rare, roots)
-        members = written(members.join(_unconnected(members), "b"))
-        if members.limit(1).count() == 0:
+        members = written(members.join(_unconnected(members), "b"), rare.count())
+        most = members.count()
+        if most == 0:
             return links
         # Members outside the largest component become centres, some per bucket and round, each once.
         outside = members.where("root != most").groupBy("b", F.pmod("s", F.lit(width)).alias("lane"))
         centres = outside.agg(F.max(F.struct("weight", "s", "n", "c", "root", "lead")).alias("x"))
-        centres = written(centres.select("b", *(F.col(f"x.{c}").alias(f"c{c}") for c in ("s", "n", "c", "root", "lead"))))
+        centres = written(centres.select("b", *(F.col(f"x.{c}").alias(f"c{c}") for c in ("s", "n", "c", "root", "lead"))), most)
         least = F.least("c", "cc")
         pairs = members.join(centres, "b").where(
             (F.col("root") != F.col("croot"))
@@ -259,10 +263,11 @@ def _links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         )
         found = written(_confirmed(pairs.select(*_pair("s", "cs")).distinct(), full, percent))
         done = centres.select(F.col("b").alias("cb"), "cs")
-        rare = written(members.join(done, (F.col("b") == F.col("cb")) & (F.col("s") == F.col("cs")), "left_anti").drop("root", "most"))
-        if found.limit(1).count():
-            links = written(links.unionByName(found))
-            roots = components(links)
+        rare = written(members.join(done, (F.col("b") == F.col("cb")) & (F.col("s") == F.col("cs")), "left_anti").drop("root", "most"), most)
+        if new := found.count():
+            known += new
+            links = written(links.unionByName(found), known)
+            roots = components(links, known)
         width *= LANES
 
 
@@ -271,12 +276,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     texts = _texts(docs, id_col, text_col)
     signed = written(_signed(docs, percent / 100, id_col, text_col, bands))
     sets = signed.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    links = _links(texts, sets, percent)
+    rows = signed.count()
+    links = _links(texts, sets, percent, rows * bands)
     # Documents hang on the smallest id of their set, and set numbers become those ids.
     by_set = signed.where("n > 0").groupBy("s").agg(F.min("k").alias("first"))
     own = signed.where("n > 0").join(by_set, "s").select(F.col("k").alias("a"), F.col("first").alias("b"))
     linked = links.join(by_set.select(F.col("s").alias("a"), F.col("first").alias("x")), "a").join(by_set.select(F.col("s").alias("b"), F.col("first").alias("y")), "b")
-    graph = components(own.where("a != b").unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    graph = components(own.where("a != b").unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), rows + links.count())
     out = signed.join(graph, signed["k"] == graph["v"], "left").select("k", "n", F.coalesce("root", "k").alias("root"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("k").alias("doc_id"), F.col("n").alias("n_shingles"), real("root").alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))

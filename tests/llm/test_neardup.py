@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from medley.llm import minhash
+from medley.llm import components as parts, minhash
 from medley.llm.components import components
 
 
@@ -120,3 +120,32 @@ def test_very_long_near_copies(docs):
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(half)), (4, " ".join(words[:100_000])), (5, " ".join(words[1000:]))]
     rows = rows + [(10 + i, " ".join(words[i * 7 : i * 7 + 300])) for i in range(40)]
     assert got(minhash.near_duplicates(docs(rows), percent=85)) == plain(rows, 85)
+
+
+def test_small_link_tables_take_few_tasks(spark, monkeypatch, docs):
+    """A small table is written by a few tasks whatever the shuffle's partitions, and rounds end with the first stars."""
+    docs([(1, "one")])  # sets the shared folder
+    files = []
+
+    def counted(df, *bounds):
+        out = written(df, *bounds)
+        files.append(len(out.inputFiles()))
+        return out
+
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    written = parts.written
+    monkeypatch.setattr(parts, "written", counted)
+    try:
+        for c, value in conf.items():
+            spark.conf.set(c, value)
+        chains = spark.createDataFrame([(i + j, i + j + 1) for i in range(0, 6000, 6) for j in range(3)], "a long, b long")
+        got = {x["v"]: x["root"] for x in components(chains).collect()}
+        assert got == {i + j: i for i in range(0, 6000, 6) for j in range(4)}
+        assert max(files[1:]) <= 2 * spark.sparkContext.defaultParallelism
+        files.clear()
+        stars = spark.createDataFrame([(i, i + j) for i in range(0, 6000, 6) for j in (1, 2)], "a long, b long")
+        assert components(stars).count() == 3000 and len(files) == 1
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
