@@ -416,3 +416,14 @@ def test_library_parses_its_pages_once(spark):
     items, members = services.collect_library(watched, ["at"])
     assert items.count() == 9 and members.count() == 60 and calls.value == 60
     assert sorted((r.spotify_id, r.m_idx, r.group_id) for r in members.collect()) == sorted((str(i % 9), i // 9, str(i)) for i in range(60))
+
+
+def test_unreadable_years_are_not_cast(spark):
+    """Only four digits reach the cast, as a failed one costs far more than a row; the years are those of the plain cast."""
+    texts = ["1999-01-02", "1900", "1901", "c. 1999", "", None, " 199", "+199", "199.", "19 9", "2001", "20011", "0000", "１９９９", "-1999", "1e10", "199\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.substring("t", 1, 4).try_cast("int")
+    got = df.select(services.release_year(F.col("t")).alias("year"), F.when(plain > 1900, plain).alias("want"))
+    assert [r.year for r in got.collect()] == [r.want for r in got.collect()] == [1999, None, 1901] + [None] * 7 + [2001, 2001] + [None] * 5
+    plan = df.select(services.release_year(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
