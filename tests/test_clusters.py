@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from medley.operators import kmeans, silhouette
+from medley.plans import graph
 
 
 def frame(spark, x, labels=None):
@@ -92,3 +93,27 @@ def test_points_are_sent_to_few_tasks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x, labels = rng.normal(size=(83, 5)), rng.integers(0, 3, 83)
     assert kmeans.silhouettes(frame(spark, x, labels), ["label"])["label"] == pytest.approx(plain_silhouette(x, labels), abs=1e-9)
+
+
+def test_shortest_tree_drops_links_between_the_same_parts(spark, monkeypatch):
+    """A round hands on one link per pair of parts; the tree is that of the plain method, ties included."""
+    written, sizes = graph.materialized, []
+
+    def counted(df):
+        out = written(df)
+        if out.columns == ["a", "b", "length", "pa", "pb"]:
+            sizes.append((out.count(), out.selectExpr("least(pa, pb)", "greatest(pa, pb)").distinct().count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialized", counted)
+    rng = np.random.default_rng(9)
+    links = sorted({(int(min(x)), int(max(x)), float(rng.integers(1, 9))) for x in rng.integers(0, 60, (900, 2)) if x[0] != x[1]})
+    links = sorted({(a, b): (a, b, w) for a, b, w in links}.values())
+    root, want = list(range(60)), []
+    for w, a, b in sorted((w, a, b) for a, b, w in links):
+        if root[a] != root[b]:
+            root = [root[b] if r == root[a] else r for r in root]
+            want.append((a, b, w))
+    got = graph.shortest_links(spark.createDataFrame(links, "a long, b long, length double")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert all(rows == pairs for rows, pairs in sizes)
