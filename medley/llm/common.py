@@ -24,7 +24,7 @@ TASK_ROWS = 50_000
 
 
 def few_tasks(df: DataFrame, rows: int, per_task: int = TASK_ROWS) -> DataFrame:
-    """A frame of at most `rows` rows in as many tasks as these fill, and in one per core at least.
+    """A frame of at most `rows` rows in as many tasks as these fill, and in two per core at least.
 
     A task that writes a file costs far more than the few rows it may hold. Large frames stay as they are.
     """
