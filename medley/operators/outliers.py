@@ -62,7 +62,9 @@ def group_distances(members: DataFrame, weights: Weights = Weights(), most_genre
     if (totals.groupBy("group_id").count().agg(F.max("count")).first()[0] or 0) <= most_genres:
         entry = F.when(F.col("part") != "-", F.struct("part", F.expr("cast(part_rows as double)").alias("part_rows")))
         lists = totals.groupBy("group_id").agg(F.map_from_entries(F.collect_list(entry)).alias("shares"))
-        rows = members.select(*key, *fields, genres.alias("parts")).join(scopes.join(lists, "group_id"), "group_id")
+        # Written, so that the join stands above two shuffles and a hot group can be split over tasks.
+        shared = materialized(scopes.join(lists, "group_id"))
+        rows = members.select(*key, *fields, genres.alias("parts")).join(shared, "group_id")
         pieces = f"aggregate(parts, 0D, (sum, part) -> sum + {own.replace('part_rows', 'element_at(shares, part)')})"
         return rows.selectExpr(*key, "rows_ as n", f"{usable} as usable", f"sqrt(greatest({whole} + {pieces}, 0D)) as distance")
     place = ["group_id", "pos", "m_idx"]
